@@ -91,18 +91,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _ODD = 0x5851F42D4C957F2D
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd base modulo 2^64, and of its inverse."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
         up, down = np.full(size, _ODD, np.uint64), np.full(size, pow(_ODD, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _POWERS[size] = np.cumprod(up), np.cumprod(down)
-    return _POWERS[size]
+        _POWERS[:] = np.cumprod(up), np.cumprod(down)
+    return _POWERS
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -7,20 +7,98 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import langid, mixing, packing, quality, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer that the queries use; the operators take a path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    models = langid.train(docs.where(~held_out))
+    return langid.identify(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.plan_mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_read(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.signals(_read(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Targets by sources: capped sources are those whose cap per weight is least, as many as leave no other above its cap.
+_OP6 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash
+  FROM documents),
+ranked AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS k FROM ranked),
+levels AS (
+  SELECT k - 1 AS capped,
+         CAST((SELECT sum(source_size) FROM ranked) - 3 * coalesce(sum(source_size) OVER before, 0) AS DOUBLE)
+           / CAST((SELECT sum(weight) FROM ranked) - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS level
+  FROM ordered WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (
+  SELECT level FROM levels l
+  WHERE NOT EXISTS (SELECT 1 FROM ordered o WHERE o.k > l.capped AND o.weight * l.level > 3 * o.source_size)
+  ORDER BY capped LIMIT 1),
+goals AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * level) AS target FROM ranked, chosen),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goals),
+hashes AS (
+  SELECT source, hash, sum(size) AS size FROM sized GROUP BY ALL),
+upto AS (
+  SELECT source, hash, size, sum(size) OVER (PARTITION BY source ORDER BY hash) AS upto FROM hashes),
+more AS (
+  SELECT u.source, u.hash,
+         CASE WHEN u.upto <= b.target - b.whole * b.source_size THEN 1
+              WHEN u.upto - u.size <= b.target - b.whole * b.source_size
+                   AND 2 * (b.target - b.whole * b.source_size - (u.upto - u.size)) >= u.size THEN 1 ELSE 0 END AS extra
+  FROM upto u JOIN budgets b ON u.source IS NOT DISTINCT FROM b.source)
+SELECT s.doc_id, s.size, b.source_size, b.target, CAST(s.size * least(b.whole + m.extra, 3) AS BIGINT) AS taken
+FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
+JOIN more m ON s.source IS NOT DISTINCT FROM m.source AND s.hash = m.hash
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_mixing": _OP6}
