@@ -2,9 +2,11 @@
 
 One model per language, of n-grams up to ``order`` characters: interpolated probabilities and
 back-off weights lie in arrays sorted by n-gram hash. The language of the lowest cross-entropy per
-character wins. A text is rejected if it has no letter, or if its cross-entropy lies further above
-what its language's own held-aside texts show than their calibrated bound, which widens for short
-texts.
+character wins. A text is rejected if it has no letter, or if its cross-entropy lies above its
+language's limit by more than three standard errors, which widen for short texts. The limit is
+calibrated by leaving languages out: it lies above nearly all of the language's own held-aside
+texts, and most of the way to what texts get from the models of the other languages only, as an
+unknown language would. So a text that quotes another language stays.
 
 The models are fitted on a bounded sample of labelled rows: about ``docs_per_lang`` distinct whole
 texts a language, chosen by hash. Null labels and null texts teach nothing; without any labelled
@@ -28,9 +30,11 @@ from .common import blocks, mix64, small, stored
 ORDER = 5
 #: Labelled texts that one language's model is fitted and calibrated on, about.
 DOCS_PER_LANG = 400
-#: A fifth of them calibrate; the bound lets this share of them pass.
+#: A fifth of them calibrate; the limit lets this share of them pass.
 PASS_SHARE = 0.995
-LEAST_BOUND = 4.0
+#: Where the limit lies from a language's own texts (0) to those of unknown languages (1).
+TOWARDS_UNKNOWN = 0.75
+LEAST_DEVIATIONS = 4.0
 #: Characters that the score's posterior counts.
 SHARPNESS = 20.0
 
@@ -83,10 +87,8 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     floor: float = 1e-6
-    middle: float = 0.0
-    between: float = 0.1
     within: float = 1.0
-    bound: float = LEAST_BOUND
+    limit: float = float("inf")
 
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
@@ -164,10 +166,10 @@ def fit(lang: str, texts: list[str], order: int = ORDER) -> Model:
             lengths.append(len(at))
     if means:
         h, n = np.array(means), np.array(lengths)
-        model.middle, model.within = float(np.median(h)), float(np.median(variances))
-        model.between = max(0.02, 1.4826 * float(np.median(np.abs(h - model.middle))))
-        z = (h - model.middle) / np.sqrt(model.between**2 + model.within / n)
-        model.bound = max(LEAST_BOUND, float(np.quantile(z, PASS_SHARE)))
+        middle, model.within = float(np.median(h)), float(np.median(variances))
+        between = max(0.02, 1.4826 * float(np.median(np.abs(h - middle))))
+        own = h - 3 * np.sqrt(model.within / n)
+        model.limit = max(middle + LEAST_DEVIATIONS * between, float(np.quantile(own, PASS_SHARE)))
     return model
 
 
@@ -181,7 +183,7 @@ def _rows(model: Model) -> pa.Table:
         kinds.append(np.full(len(h), 100 + n))
         hashes.append(h)
         values.append(v)
-    own = [model.floor, model.middle, model.between, model.within, model.bound]
+    own = [model.floor, model.within, model.limit]
     kinds.append(np.arange(200, 200 + len(own)))
     hashes.append(np.zeros(len(own), np.uint64))
     values.append(np.array(own))
@@ -195,6 +197,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDE
     counts = small(stored(docs.select(F.col(lang).alias("lang")).where("lang is not null").groupBy("lang").count(), "langs"))
     below = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count")) * F.lit(2.0**64)
     sample = rows.join(counts, "lang").where(F.col("h").cast("double") <= below).select("lang", "text").distinct()
+    sample = stored(sample, "lang-sample")
 
     def run(table: pa.Table) -> pa.Table:
         texts = sorted(table.column("text").to_pylist(), key=lambda t: hash_text(t))
@@ -207,11 +210,35 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDE
         own = langs == name
         k, h, v = kind[own], hashes[own].view(np.uint64), values[own]
         part = lambda n: (h[k == n][o := np.argsort(h[k == n])], v[k == n][o])
-        own_values = [float(v[k == 200 + n][0]) for n in range(5)]
+        own_values = [float(v[k == 200 + n][0]) for n in range(3)]
         models.append(Model(str(name), [part(n) for n in range(order)], [part(100 + n) for n in range(order)], *own_values))
+    if len(models) > 1:
+        _calibrate(sample, models, order)
     return models
 
 
+def _calibrate(sample: DataFrame, models: list[Model], order: int) -> None:
+    """Move limits towards what texts of other languages get from a model, as the best of all but their own."""
+    shared = _share(sample, models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value[1], order)
+        for batch in blocks(batches, "text", 1 << 20):
+            entropy, n = scorer.entropies(*symbols(batch.column(1).to_pylist(), order)[:3])
+            known = {m.lang: k for k, m in enumerate(scorer.models)}
+            entropy[np.arange(len(n)), [known[x] for x in batch.column(0).to_pylist()]] = np.inf
+            best = entropy.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), pa.array(entropy.min(axis=1)), pa.array(n)], ["best", "entropy", "n"])
+
+    got = sample.mapInArrow(run, "best int, entropy double, n long").where("n >= 200").select("best", "entropy").toArrow()
+    best, entropy = got.column(0).to_numpy(), got.column(1).to_numpy()
+    for k, model in enumerate(models):
+        near = entropy[best == k] if (best == k).sum() >= 20 else entropy
+        if len(near):
+            unknown = float(np.quantile(near, 0.05))
+            model.limit = max(model.limit, model.limit + TOWARDS_UNKNOWN * (unknown - model.limit))
+
+
 def hash_text(text: str) -> int:
     """An order of texts that doesn't follow their source's."""
     import zlib
@@ -227,14 +254,8 @@ class Scorer:
         self.keys = np.zeros(_SLOTS, np.uint64)
         self.logs = np.zeros((_SLOTS, len(models)), np.float32)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and rejection of each text."""
-        n_docs = len(texts)
-        codes, offsets, counts = symbols(texts, self.order)
-        letter = _letters()[np.minimum(codes, 0x10FFFF)]
-        has = np.add.reduceat(np.r_[letter, False].astype(np.int64), np.minimum(offsets[:-1], len(letter))) > 0 if n_docs else np.zeros(0, bool)
-        if not self.models:
-            return ["und"] * n_docs, np.zeros(n_docs), np.ones(n_docs, bool)
+    def entropies(self, codes: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy of each text under each model, and the characters that count (1 at least)."""
         g, at = grams(codes, self.order), np.flatnonzero(counts)
         keys = mix64(g[-1][at]) | np.uint64(1)
         slot = (keys >> np.uint64(1) & np.uint64(_SLOTS - 1)).astype(np.int64)
@@ -249,19 +270,28 @@ class Scorer:
             self.keys[slot[missed[first]]] = new
             self.logs[slot[missed[first]]] = found
         edges = np.searchsorted(at, offsets)
-        sums = np.zeros((n_docs, len(self.models)))
+        sums = np.zeros((len(offsets) - 1, len(self.models)))
         filled = np.flatnonzero(np.diff(edges) > 0)
         if len(filled):
             sums[filled] = np.add.reduceat(logs, edges[:-1][filled], axis=0, dtype=np.float64)
         n = np.maximum(np.diff(edges), 1)
-        entropy = -sums / n[:, None]
+        return -sums / n[:, None], n
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and rejection of each text."""
+        n_docs = len(texts)
+        codes, offsets, counts = symbols(texts, self.order)
+        letters = np.r_[0, np.cumsum(_letters()[codes])]
+        has = letters[offsets[1:]] > letters[offsets[:-1]]
+        if not self.models:
+            return ["und"] * n_docs, np.zeros(n_docs), np.ones(n_docs, bool)
+        entropy, n = self.entropies(codes, offsets, counts)
         best = entropy.argmin(axis=1)
         lowest = entropy[np.arange(n_docs), best]
         score = 1.0 / np.exp((lowest[:, None] - entropy) * SHARPNESS).sum(axis=1)
-        of = lambda name: np.array([getattr(m, name) for m in self.models])[best]
-        z = (lowest - of("middle")) / np.sqrt(of("between") ** 2 + of("within") / n)
+        limit, within = (np.array([getattr(m, x) for m in self.models])[best] for x in ("limit", "within"))
         names = [self.models[b].lang if ok else "und" for b, ok in zip(best.tolist(), has.tolist())]
-        return names, np.where(has, score, 0.0), ~has | (z > of("bound"))
+        return names, np.where(has, score, 0.0), ~has | (lowest - 3 * np.sqrt(within / n) > limit)
 
 
 def _scorer(shared) -> Scorer:
