@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, sharding, simhash, warc
+from . import htmltext, langid, mixing, packing, quality, sharding, simhash, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,38 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Dated entries of the query's list: list, effect, kind, pattern, action, day of 2024.
+LIST_ENTRIES = [
+    ("spam", "block", "domain", "spam-farm.example.org", "add", 20),
+    ("spam", "block", "domain", "spam-farm.example.org", "remove", 150),
+    ("spam", "block", "domain", "spam-farm.example.org", "add", 200),
+    ("partners", "allow", "prefix", "spam-farm.example.org/en", "add", 260),
+    ("partners", "allow", "prefix", "spam-farm.example.org/en", "remove", 300),
+    ("region", "block", "domain", "example.net", "add", 100),
+    ("region", "block", "domain", "example.net", "remove", 130),
+]
+_YEAR = 1_704_067_200  # 2024-01-01 UTC
+_DAY = 86_400
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages, fetched through 2024, against a fixed list and one entry for each of the hosts whose hash chooses it."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.lit(_YEAR) + F.pmod(F.col("page_id") * 7919, F.lit(527_040)) * 60)
+    fixed = spark.createDataFrame([(*e[:5], _YEAR + e[5] * _DAY) for e in LIST_ENTRIES], "list string, effect string, kind string, pattern string, action string, at long")
+    host = urlfilter.host_of(F.col("url"))
+    hosts = pages.select(host.alias("h")).where("h is not null").distinct().withColumn("x", F.conv(F.substring(F.md5("h"), 1, 7), 16, 10).cast("long"))
+    at = F.lit(_YEAR) + F.pmod(F.col("x"), F.lit(300)) * _DAY
+    entry = lambda name, effect, kind, pattern, action, when: F.struct(F.lit(name).alias("list"), F.lit(effect).alias("effect"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), when.cast("long").alias("at"))
+    per_host = F.array(
+        entry("hosts", "block", "host", F.col("h"), "add", at),
+        entry("hosts", "block", "host", F.when(F.col("x") % 2 == 0, F.col("h")), "remove", at + 45 * _DAY),
+        entry("paths", "allow", "prefix", F.when(F.col("x") % 3 == 0, F.concat("h", F.lit("/de"))), "add", at + 10 * _DAY),
+    )
+    grown = hosts.where("x % 5 = 0").select(F.explode(per_host).alias("e")).select("e.*")
+    return urlfilter.evaluate(captures, fixed.unionByName(grown))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
@@ -28,6 +60,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.learn(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = "tag:placeloom.invalid,2025:page/"
     read = warc.archive(_read(spark, sf_dir, "pages"), prefix)
@@ -60,7 +97,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_language_id": op2_language_id,
+    "op3_html_extraction": op3_html_extraction,
     "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
@@ -109,4 +148,43 @@ FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 JOIN more m ON s.source IS NOT DISTINCT FROM m.source AND s.hash = m.hash
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": _OP6}
+_OP1 = r"""
+WITH parsed AS (
+  SELECT page_id, url, CAST(1704067200 + ((page_id * 7919) % 527040 + 527040) % 527040 * 60 AS BIGINT) AS fetched,
+         nullif(regexp_replace(lower(regexp_extract(url, '@URL@', 1)), '\.+$', ''), '') AS host,
+         string_split(regexp_extract(url, '@URL@', 2), '/') AS parts
+  FROM pages),
+captures AS (
+  SELECT *, list_filter(parts, lambda s: length(s) > 0) AS segments FROM parsed),
+hosts AS (
+  SELECT h, x, 1704067200 + x % 300 * 86400 AS day FROM (
+    SELECT DISTINCT host AS h, CAST('0x' || substr(md5(host), 1, 7) AS BIGINT) AS x FROM captures WHERE host IS NOT NULL)
+  WHERE x % 5 = 0),
+entries(list, effect, kind, pattern, action, day) AS (
+  VALUES @ENTRIES@
+  UNION ALL SELECT 'hosts', 'block', 'host', h, 'add', day FROM hosts
+  UNION ALL SELECT 'hosts', 'block', 'host', h, 'remove', day + 45 * 86400 FROM hosts WHERE x % 2 = 0
+  UNION ALL SELECT 'paths', 'allow', 'prefix', h || '/de', 'add', day + 10 * 86400 FROM hosts WHERE x % 3 = 0),
+spans AS (
+  SELECT *, lead(day) OVER (PARTITION BY list, effect, kind, pattern ORDER BY day) AS until FROM entries),
+hits AS (
+  SELECT c.page_id, s.effect, s.day AS since
+  FROM captures c JOIN spans s
+    ON s.action = 'add' AND c.fetched >= s.day AND (s.until IS NULL OR c.fetched < s.until)
+   AND CASE s.kind WHEN 'host' THEN c.host = s.pattern
+            WHEN 'domain' THEN c.host = s.pattern OR suffix(c.host, '.' || s.pattern)
+            ELSE starts_with(lower(array_to_string(list_prepend(c.host, c.segments), '/')) || '/', s.pattern || '/') END),
+found AS (
+  SELECT page_id, count(*) FILTER (effect = 'block') AS n_block, count(*) FILTER (effect = 'allow') AS n_allow,
+         min(since) FILTER (effect = 'block') AS blocked, min(since) FILTER (effect = 'allow') AS allowed
+  FROM hits GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched, c.host,
+       CASE WHEN c.host IS NULL THEN 'invalid' WHEN coalesce(n_allow, 0) > 0 THEN 'allow' WHEN coalesce(n_block, 0) > 0 THEN 'block' ELSE 'none' END AS verdict,
+       CAST(coalesce(n_block, 0) AS BIGINT) AS n_block, CAST(coalesce(n_allow, 0) AS BIGINT) AS n_allow,
+       CAST(CASE WHEN coalesce(n_allow, 0) > 0 THEN allowed ELSE blocked END AS BIGINT) AS since
+FROM captures c LEFT JOIN found f USING (page_id)
+"""
+_OP1 = _OP1.replace("@URL@", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)")
+_OP1 = _OP1.replace("@ENTRIES@", ", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', {_YEAR + k * _DAY})" for a, b, c, d, e, k in LIST_ENTRIES))
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _OP1, "op6_mixing": _OP6}
