@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, packing, quality, sharding, simhash, urlfilter, warc
+from . import chroma, htmltext, langid, mixing, packing, quality, recordings, sharding, simhash, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,6 +72,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made from all rows of ``embeddings``; those whose id is divisible by 50 are looked up among all."""
+    media = recordings.recordings(_read(spark, sf_dir, "embeddings"))
+    return chroma.align(chroma.fingerprints(media), "id % 50 = 0")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
     "op4_warc": op4_warc,
+    "op5_media_columns": op5_media_columns,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
