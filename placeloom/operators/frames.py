@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.media import frame_number, frame_time, sample_times
@@ -60,7 +60,12 @@ def aggregated(frames: DataFrame, group: list[str], frame: str, attributes: list
     row = F.array_sort(F.collect_list(F.struct(F.col(frame), *attributes)))
     got = frames.groupBy(*group).agg(row.alias("__rows__"))
     empty = F.array().cast("array<string>")
-    flat = [F.filter(F.array_distinct(F.flatten(F.transform("__rows__", lambda x, a=a: F.coalesce(x[a], empty)))), lambda v: v.isNotNull() & (v != "")).alias(a) for a in attributes]
+
+    def seen(name: str) -> Column:
+        values = F.flatten(F.transform("__rows__", lambda x: F.coalesce(x[name], empty)))
+        return F.filter(F.array_distinct(values), lambda v: v.isNotNull() & (v != ""))
+
+    flat = [seen(name).alias(name) for name in attributes]
     return got.select(*group, *flat)
 
 

@@ -1,6 +1,552 @@
-"""Registered queries over the test tables, and the SQL that each must equal."""
+"""Registered queries over the test tables, and the SQL that each must equal.
+
+A query is a function of (spark, folder) with the library's operators on the tables' analogues; the
+SQL says the same on the tables themselves. Time is written as microseconds where types would differ.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays, media, numbers, text, urls
+from ..operators import enrich, frames, mutate, paging, places, policy, posts
+from ..streaming import status as states
+from . import analogues as a
+from .analogues import read
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Places
+
+
+@query(
+    """WITH f AS (SELECT o.* FROM orders o WHERE (o_orderpriority ILIKE '%urg%' OR o_orderstatus ILIKE '%urg%')),
+p AS (SELECT * FROM f ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 20 OFFSET 20)
+SELECT p.o_orderkey AS id, p.o_custkey AS user_id, p.o_orderpriority AS category, coalesce(nullif(c.display_name, ''), 'Anonymous') AS created_by,
+(SELECT count(*) FROM f) AS total_items, CAST(ceil((SELECT count(*) FROM f) / 20.0) AS BIGINT) AS total_pages
+FROM p LEFT JOIN (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE '' END AS display_name FROM customer) c ON p.o_custkey = c.id"""
+)
+def places_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: search, sort, page, total and creator of a places feed."""
+    o = read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("category"), F.col("o_orderpriority").alias("name"),
+        F.col("o_orderstatus").alias("description"), F.lit(None).cast("string").alias("neighborhood"), F.col("o_orderdate").alias("created_at"),
+    )
+    page = paging.Page.of(20, 2, **paging.PLACES_PAGE)
+    hits = places.filtered(o, search="urg")
+    shown = paging.with_total(places.places_page(o, page, search="urg"), "shown").drop("shown")
+    total = hits.agg(F.count("*").alias("total_items"))
+    out = paging.with_creator(shown, a.profiles(spark, d), "user_id", "id", "display_name").select("id", "user_id", "category", "created_by")
+    return out.crossJoin(F.broadcast(total)).withColumn("total_pages", numbers.total_pages("total_items", page.limit))  # one row
+
+
+@query(
+    """SELECT p_partkey AS id, p_name AS name, p_type AS category, p_brand AS city FROM part
+WHERE (p_name ILIKE '%ri%' OR p_type ILIKE '%ri%' OR p_brand ILIKE '%ri%') AND p_type ILIKE 'ec_nomy' AND p_brand ILIKE '%brand#1%'
+ORDER BY p_name ASC NULLS LAST, p_partkey LIMIT 10 OFFSET 10"""
+)
+def places_list(spark: SparkSession, d: str) -> DataFrame:
+    page = paging.Page.of(10, 2, **paging.PLACES_PAGE)
+    return places.places_page(a.places(spark, d), page, "name", True, search="ri", category="ec_nomy", city="brand#1").select("id", "name", "category", "city")
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS total_items FROM part WHERE p_type ILIKE 'economy')
+SELECT CAST(2 AS BIGINT) AS page, CAST(100 AS BIGINT) AS "limit", total_items, CAST(ceil(total_items / 100.0) AS BIGINT) AS total_pages,
+2 < ceil(total_items / 100.0) AS has_next, true AS has_prev FROM n"""
+)
+def places_list_total(spark: SparkSession, d: str) -> DataFrame:
+    """The envelope of a page; the asked limit of 500 is capped."""
+    return paging.envelope(places.filtered(a.places(spark, d), category="economy"), paging.Page.of("500", "2", **paging.PLACES_PAGE))
+
+
+@query(
+    f"""SELECT o_orderkey AS id, coalesce(nullif(p.display_name, ''), 'Anonymous') AS created_by
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS user_id FROM orders) o LEFT JOIN ({a.PROFILES_SQL}) p ON o.user_id = p.id"""
+)
+def creator_enrich(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("user_id"))
+    return paging.with_creator(o, a.profiles(spark, d).withColumnRenamed("id", "pid"), "user_id", "pid", "display_name").select("id", "created_by")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS name FROM orders WHERE o_custkey = 42")
+def my_places(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("name"))
+    return places.filtered(o, user_id=42, mine=True).select("id", "name")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_partkey + 100000 AS post_id, p_name AS name FROM part),
+asked AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN l_partkey ELSE l_partkey + 100000 END AS asked FROM lineitem),
+one AS (SELECT asked, id, name, 'id' AS matched_by FROM asked JOIN p ON asked = id)
+SELECT * FROM one UNION ALL
+SELECT asked, id, name, 'post' FROM asked JOIN p ON asked = post_id WHERE asked NOT IN (SELECT asked FROM one)"""
+)
+def place_detail_fallback(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") + 100000).alias("post_id"), F.col("p_name").alias("name"))
+    asked = read(spark, d, "lineitem").select(F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).otherwise(F.col("l_partkey") + 100000).alias("asked")).distinct()
+    return places.place_detail(p, asked, "id", "post_id").select("asked", "id", "name", "matched_by")
+
+
+@query("SELECT DISTINCT p_type AS category FROM part WHERE p_type IS NOT NULL AND length(trim(p_type)) > 0 AND contains(lower(p_type), 'm') ORDER BY category DESC LIMIT 50")
+def categories_distinct(spark: SparkSession, d: str) -> DataFrame:
+    found = places.categories(a.places(spark, d), search="M")
+    return paging.paged(found, [F.col("category").desc()], paging.Page.of(**paging.CATEGORIES_PAGE))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_name ILIKE '%nation_1%' ORDER BY n_name ASC NULLS LAST, n_nationkey LIMIT 50")
+def cities_search(spark: SparkSession, d: str) -> DataFrame:
+    table = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return paging.paged(places.cities(table, "nation_1"), paging.sort_keys("name", True, {"name": "name"}, "name", "id"), paging.Page.of(**paging.CITIES_PAGE))
+
+
+@query(
+    f"""WITH s AS ({a.SAVED_SQL}), page AS (SELECT * FROM s WHERE user_id = 7 ORDER BY created_at DESC NULLS FIRST, place_id LIMIT 10)
+SELECT p_partkey AS id, p_name AS name, epoch_us(created_at) AS saved_at FROM page JOIN part ON p_partkey = place_id WHERE p_name ILIKE '%e%' AND p_brand ILIKE '%1%'"""
+)
+def saved_page_compat(spark: SparkSession, d: str) -> DataFrame:
+    """The page is cut before the filters act."""
+    p = a.places(spark, d).drop("created_at")
+    found = places.saved_page(a.saved(spark, d), p, 7, paging.Page.of(**paging.SAVED_PAGE), compat=True, search="e", city="1")
+    return found.select("id", "name", _micros("saved_at"))
+
+
+@query(
+    f"""WITH s AS ({a.SAVED_SQL}) SELECT p_partkey AS id, p_name AS name, epoch_us(created_at) AS saved_at FROM s JOIN part ON p_partkey = place_id
+WHERE user_id = 7 AND p_name ILIKE '%e%' AND p_brand ILIKE '%1%' ORDER BY created_at DESC NULLS FIRST, p_partkey LIMIT 10"""
+)
+def saved_page_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """The filters act before the page is cut."""
+    p = a.places(spark, d).drop("created_at")
+    found = places.saved_page(a.saved(spark, d), p, 7, paging.Page.of(**paging.SAVED_PAGE), search="e", city="1")
+    return found.select("id", "name", _micros("saved_at"))
+
+
+def _micros(name: str, to: str | None = None):
+    """A timestamp as microseconds since 1970, whatever its kind."""
+    return F.unix_micros(F.col(name).cast("timestamp")).alias(to or name)
+
+
+@query("SELECT o_orderkey AS id, epoch_us(o_orderdate) AS created_at FROM orders WHERE o_custkey = 100")
+def lists_owned(spark: SparkSession, d: str) -> DataFrame:
+    return places.owned_lists(a.sharing(spark, d)["lists"], 100).select("id", _micros("created_at"))
+
+
+@query(
+    """WITH r AS (SELECT c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY lower(trim(c_name[1:16])), lower(trim(c_mktsegment)) ORDER BY c_custkey) AS nth FROM customer)
+SELECT c_custkey AS id, c_name[1:16] AS name, c_mktsegment AS city FROM r WHERE nth = 1"""
+)
+def place_dedup_key(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.substring("c_name", 1, 16).alias("name"), F.col("c_mktsegment").alias("city"))
+    return places.distinct_places(c, [], ["id"])
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 7500)")
+def missing_cities_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Nations, as cities, in which no rich supplier sits yet."""
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("key"))
+    s = read(spark, d, "supplier").where("s_acctbal > 7500").select(F.col("s_nationkey").cast("string").alias("key"))
+    return places.new_rows(n, s, ["key"]).select("id", "name")
+
+
+@query(
+    """SELECT p_partkey AS id, lower(regexp_replace(trim(p_name), '[^a-z0-9]+', '-', 'g')) || '-' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 4) AS slug FROM part"""
+)
+def slugify(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.slugify("p_name", "p_partkey").alias("slug"))
+
+
+# Posts
+
+
+@query(
+    """SELECT o_orderkey AS id, o_orderstatus AS platform, c_name AS place_name, c_mktsegment AS place_category, c_acctbal AS latitude
+FROM orders LEFT JOIN customer ON c_custkey = CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END"""
+)
+def posts_enriched_view(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("platform"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("place_id"))
+    c = read(spark, d, "customer")
+    return posts.enriched(o, c, key="c_custkey", columns={"c_name": "place_name", "c_mktsegment": "place_category", "c_acctbal": "latitude"}).drop("place_id")
+
+
+@query(
+    """WITH posts AS (SELECT o_orderkey AS id, o_orderkey % (SELECT count(*) FROM part) AS place_id, CAST(o_orderkey AS VARCHAR) AS url FROM orders),
+own AS (SELECT id AS post_id, place_id, 0 AS rank FROM posts WHERE place_id IN (SELECT p_partkey FROM part)),
+found AS (SELECT DISTINCT o_orderkey AS post_id, l_partkey AS place_id, 1 AS rank FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT post_id, place_id, min(rank) AS rank FROM (SELECT * FROM own UNION ALL SELECT * FROM found) GROUP BY ALL"""
+)
+def places_of_post(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as places found under an order's URL, and one place of the order's own."""
+    p = read(spark, d, "part")
+    o = read(spark, d, "orders").crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))  # one row
+    o = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % F.col("n")).alias("place_id"), F.col("o_orderkey").cast("string").alias("post_url"))
+    lines = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").cast("string").alias("source_url"))
+    table = p.select(F.col("p_partkey").alias("id"), F.lit(None).cast("string").alias("source_url")).unionByName(lines)
+    return posts.places_of_posts(o, table)
+
+
+@query(
+    """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts DESC NULLS LAST, event_id DESC) AS nth FROM events) WHERE nth = 1"""
+)
+def pick_post(spark: SparkSession, d: str) -> DataFrame:
+    return posts.pick_post(read(spark, d, "events"), ["user_id"], "event_type", "ts", "event_id", done="purchase").select("user_id", "event_id", "event_type")
+
+
+_RATE = "CASE WHEN l_linenumber IS NOT NULL AND l_suppkey IS NOT NULL AND l_quantity > 10 THEN round((l_linenumber + l_suppkey) / (l_quantity - 10) * 100, 4) END"
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_linenumber, CAST({_RATE} AS DOUBLE) AS engagement_rate FROM lineitem WHERE l_suppkey < 50")
+def engagement_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Line and supplier numbers as likes and comments, quantities above ten as views."""
+    li = read(spark, d, "lineitem").where("l_suppkey < 50").withColumn("views", F.col("l_quantity") - 10)
+    return li.select("l_orderkey", "l_partkey", "l_linenumber", numbers.engagement_rate("l_linenumber", "l_suppkey", "views").cast("double").alias("engagement_rate"))
+
+
+@query(
+    f"""SELECT * FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CAST({_RATE} AS DOUBLE) AS engagement_rate FROM lineitem WHERE l_suppkey < 50)
+ORDER BY engagement_rate DESC NULLS LAST, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity LIMIT 25"""
+)
+def engagement_topk(spark: SparkSession, d: str) -> DataFrame:
+    li = read(spark, d, "lineitem").where("l_suppkey < 50").withColumn("views", F.col("l_quantity") - 10)
+    rated = li.withColumn("engagement_rate", numbers.engagement_rate("l_linenumber", "l_suppkey", "views").cast("double"))
+    keyed = rated.withColumn("id", F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    return posts.top_engagement(keyed, 25).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "engagement_rate")
+
+
+@query("SELECT doc_id FROM documents WHERE list_contains(string_split(lower(text), ' '), 'the')")
+def hashtags_contains(spark: SparkSession, d: str) -> DataFrame:
+    """Words as tags."""
+    return posts.with_tag(read(spark, d, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("hashtags")), "the").select("doc_id")
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents)
+SELECT token, count(DISTINCT doc_id) AS docs FROM t
+WHERE token <> '' AND token NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','or','that','the','this','to','was','were','will','with') GROUP BY token"""
+)
+def fts_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by search token."""
+    tokens = read(spark, d, "documents").select("doc_id", F.explode(text.search_tokens("text")).alias("token"))
+    return tokens.groupBy("token").agg(F.countDistinct("doc_id").alias("docs"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN contains(t, 'tion') OR contains(t, 'ment') THEN 'Natural Wine Bar' WHEN contains(t, 'ung') THEN 'Neapolitan Pizzeria' ELSE 'Restaurant' END AS category
+FROM (SELECT doc_id, lower(text) AS t FROM documents)"""
+)
+def keyword_category(spark: SparkSession, d: str) -> DataFrame:
+    rules = [("Natural Wine Bar", ["tion", "ment"]), ("Neapolitan Pizzeria", ["ung"])]
+    return read(spark, d, "documents").select("doc_id", text.keyword_category("text", rules).alias("category"))
+
+
+# Visibility
+
+
+@query(
+    f"""WITH {a.SHARING_SQL} SELECT id, user_id, is_public FROM lists
+WHERE user_id = 17 OR id IN (SELECT list_id FROM list_collaborators WHERE user_id = 17) OR is_public"""
+)
+def rls_lists_visible(spark: SparkSession, d: str) -> DataFrame:
+    return policy.visible("lists", a.sharing(spark, d), 17).select("id", "user_id", "is_public")
+
+
+@query(
+    f"""WITH {a.SHARING_SQL} SELECT list_id, place_id FROM list_places WHERE list_id IN
+(SELECT id FROM lists WHERE user_id = 17 UNION SELECT list_id FROM list_collaborators WHERE user_id = 17 AND role = 'editor')"""
+)
+def rls_list_places_writable(spark: SparkSession, d: str) -> DataFrame:
+    tables = a.sharing(spark, d)
+    return policy.may_write("list_places", "insert", tables["list_places"], tables, 17)
+
+
+@query(
+    f"""WITH {a.SHARING_SQL} SELECT list_id, place_id FROM list_places WHERE list_id IN
+(SELECT id FROM lists WHERE user_id = 17 OR id IN (SELECT list_id FROM list_collaborators WHERE user_id = 17) OR is_public)"""
+)
+def rls_list_places_visible(spark: SparkSession, d: str) -> DataFrame:
+    return policy.visible("list_places", a.sharing(spark, d), 17)
+
+
+@query(f"WITH {a.SHARING_SQL} SELECT list_id, user_id, role FROM list_collaborators WHERE list_id IN (SELECT id FROM lists WHERE user_id = 17) OR user_id = 17")
+def rls_collaborators_visible(spark: SparkSession, d: str) -> DataFrame:
+    return policy.visible("list_collaborators", a.sharing(spark, d), 17)
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS slug FROM orders WHERE o_orderstatus = 'O'")
+def rls_guides_anon(spark: SparkSession, d: str) -> DataFrame:
+    return policy.visible("guides", a.sharing(spark, d), None).select("id", "slug")
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(replace(props, '\"k\"', '\"email\"'), '$.email') LIKE '%7%'")
+def rls_claims(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON claim that must hold a text, as the waitlist's rule reads it."""
+    e = read(spark, d, "events").withColumn("claims", F.replace("props", F.lit('"k"'), F.lit('"email"')))
+    return e.where(F.get_json_object("claims", "$.email").like("%7%")).select("event_id")
+
+
+# Frames and text
+
+
+_FRAME_LINES = """lines AS (SELECT conv_id, turn, CAST(unnest(range(1, len(p) + 1)) AS INTEGER) AS pos, unnest(p) AS t FROM (SELECT *, string_split(text, ' ') AS p FROM conversations)),
+keyed AS (SELECT *, regexp_replace(regexp_replace(lower(t), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS key FROM lines)"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as frames, their words as lines."""
+    c = read(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("p", "text")).select("conv_id", "turn", (F.col("p") + 1).alias("pos"), "text")
+
+
+@query(f"WITH {_FRAME_LINES} SELECT conv_id, turn, pos, t AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn, pos) AS nth FROM keyed) WHERE nth = 1")
+def cross_frame_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return frames.unique_across_frames(_lines(spark, d), ["conv_id"], "turn", "pos")
+
+
+@query(
+    f"""WITH {_FRAME_LINES}, f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn, pos) AS nth FROM keyed WHERE length(key) >= 2)
+SELECT conv_id, array_to_string(list(regexp_replace(t, '^\\s+|\\s+$', '', 'g') ORDER BY turn, pos), '|') AS texts FROM f WHERE nth = 1 GROUP BY conv_id"""
+)
+def collapse_frames(spark: SparkSession, d: str) -> DataFrame:
+    return frames.collapsed(_lines(spark, d), ["conv_id"], "turn", "pos").withColumn("texts", F.array_join("texts", "|"))
+
+
+_TOKENS = "tokens AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS t FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents))"
+_NOISE = r"(length(w) < 2 OR NOT regexp_matches(w, '[\p{L}\p{N}]') OR regexp_matches(w, '[§\\{}*|<>~`^]') OR regexp_matches(w, '^[IVXivx]{1,4}$'))"
+
+
+@query(
+    rf"""WITH {_TOKENS}, x AS (SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS w FROM tokens)
+SELECT doc_id, count(*) AS words, CAST(count(*) FILTER (NOT {_NOISE}) AS BIGINT) AS good_words FROM x GROUP BY doc_id"""
+)
+def noise_tokens(spark: SparkSession, d: str) -> DataFrame:
+    words = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(~text.is_noise("w")).alias("good_words"))
+
+
+@query(
+    rf"""WITH {_TOKENS}, x AS (SELECT doc_id, pos, CAST(floor((pos - 1) / 8) AS BIGINT) AS line, regexp_replace(t, '^\s+|\s+$', '', 'g') AS w, (pos * 37) % 101 AS conf FROM tokens),
+good AS (SELECT doc_id, pos, line, CASE WHEN contains(w, '₹') THEN translate(w, 'Oo', '00') ELSE w END AS w FROM x WHERE w <> '' AND conf >= 60 AND NOT {_NOISE}),
+l AS (SELECT doc_id, min(pos) AS line_no, trim(array_to_string(list(w ORDER BY pos), ' ')) AS text FROM good GROUP BY doc_id, line)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, text FROM l WHERE length(text) >= 4"""
+)
+def clean_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as OCR tables, eight words a line, confidences by a rule."""
+    words = F.split("text", " ")
+    row = lambda w, k: F.concat_ws("\t", F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), F.floor(k / 8).cast("string"), *[F.lit("0")] * 5, (((k + 1) * 37) % 101).cast("string"), F.regexp_replace(w, "[\n\t]", "\x01"))
+    tsv = F.concat(F.lit("header\n"), F.array_join(F.transform(words, row), "\n"))
+    table = read(spark, d, "documents").select("doc_id", tsv.alias("tsv"))
+    found = frames.words(table, ["doc_id"]).withColumn("text", text.trim_space(F.translate("text", "\x01", "\n")))
+    return frames.clean_lines(found.where("text <> ''"), ["doc_id"])
+
+
+@query(
+    """WITH w AS (SELECT conv_id, role, turn, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS t FROM (SELECT *, string_split(text, ' ') AS p FROM conversations)),
+f AS (SELECT conv_id, t, min(CASE WHEN role = 'user' THEN 0 ELSE 1 END * 100000000 + turn * 1000000 + i) AS place FROM w WHERE t <> '' GROUP BY conv_id, t)
+SELECT conv_id, array_to_string(list(t ORDER BY place), ' ') AS text FROM f GROUP BY conv_id"""
+)
+def combined_text(spark: SparkSession, d: str) -> DataFrame:
+    """Words of users, then of the others, each once."""
+    c = read(spark, d, "conversations")
+    by = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.split("text", " ").alias("w")))).alias("rows"))
+    of = lambda user: F.flatten(F.transform(F.filter("rows", lambda x: (x["role"] == "user") == F.lit(user)), lambda x: x["w"]))
+    return by.select("conv_id", arrays.combined_text(of(True), of(False)).alias("text"))
+
+
+@query(
+    """SELECT doc_id, CAST(i AS INTEGER) AS frame, i * (n_chars / 100.0) / n AS seconds, CAST(CASE WHEN n_chars / 100.0 <= 15 THEN 3 WHEN n_chars / 100.0 <= 30 THEN 5 ELSE 6 END AS INTEGER) AS frames
+FROM (SELECT *, least(30, floor(n_chars / 100.0 + 0.5)) AS n FROM documents) d, range(0, 30) r(i) WHERE i < n AND i * (n_chars / 100.0) / n < n_chars / 100.0"""
+)
+def frame_series(spark: SparkSession, d: str) -> DataFrame:
+    """Characters as hundredths of seconds."""
+    docs = read(spark, d, "documents").select("doc_id", (F.col("n_chars") / 100.0).alias("duration"))
+    plan = docs.select("doc_id", media.frame_budget("duration").alias("frames"))
+    return frames.frame_series(docs, "duration", "doc_id").join(plan, "doc_id")
+
+
+@query(
+    """WITH m AS (SELECT doc_id, source, md5(text) AS digest FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY source, digest ORDER BY doc_id) AS nth FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM f WHERE nth = 1)
+SELECT doc_id, source, digest FROM r WHERE k <= 6"""
+)
+def frame_md5_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as videos, documents as frames; a video keeps six."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "text")
+    return frames.distinct_frames(docs, "source", "doc_id", "text", 6).select("doc_id", "source", "digest")
+
+
+@query(
+    """SELECT lang, array_to_string(list(source ORDER BY first_doc), ',') AS sources FROM (SELECT lang, source, min(doc_id) AS first_doc FROM documents GROUP BY ALL) GROUP BY lang"""
+)
+def frame_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct attribute values over frames, in order of appearance."""
+    docs = read(spark, d, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("frame")).withColumn("source", F.array("source"))
+    return frames.aggregated(docs, ["lang"], "frame", ["source"]).select("lang", F.array_join("source", ",").alias("sources"))
+
+
+# URLs
+
+
+_CANON = r"""regexp_replace(regexp_extract(url, '^([a-z]+://[^/?#]+[^?#]*)', 1), '^([a-z]+://[^/]+)$', '\1/')"""
+
+
+@query(f"SELECT page_id, {_CANON} AS canonical FROM pages")
+def canonical_url(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", urls.canonical_url("url").alias("canonical"))
+
+
+@query(
+    f"""WITH k AS (SELECT page_id, regexp_replace(regexp_replace({_CANON}, '/+$', ''), '/reels/', '/reel/') AS key FROM pages)
+SELECT key, max(page_id) AS page_id, count(*) AS spellings FROM k GROUP BY key"""
+)
+def url_variants_match(spark: SparkSession, d: str) -> DataFrame:
+    keyed = read(spark, d, "pages").select("page_id", urls.post_key("url").alias("key"))
+    return keyed.groupBy("key").agg(F.max("page_id").alias("page_id"), F.count("*").alias("spellings"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN contains(url, 'spam-farm') THEN 'tiktok' ELSE 'instagram' END AS platform,
+CASE WHEN length(html) > 3000 AND NOT contains(url, '/de/') THEN 'video' WHEN page_id % 3 > 0 THEN 'carousel' ELSE 'image' END AS kind FROM pages"""
+)
+def platform_detect(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "pages").select("page_id", F.replace("url", F.lit("spam-farm.example.org"), F.lit("tiktok.com")).alias("url"), F.length("html").alias("n"))
+    video = F.when(F.col("n") > 3000, F.col("url")).otherwise("")
+    kind = F.when(F.contains("url", F.lit("/de/")), "post").otherwise("reel")
+    images = F.array_repeat(F.lit("x"), (F.col("page_id") % 3 + 1).cast("int"))
+    return p.select("page_id", urls.platform("url").alias("platform"), media.media_kind(video, kind, images).alias("kind"))
+
+
+# Documents and changes
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.name'), 'Explorer') AS name, event_type = 'error' AS wrapped FROM events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    mixed = F.when(F.col("event_type") == "error", F.lit("no json")).otherwise(F.col("props"))
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return e.select("event_id", k.alias("k"), arrays.json_text("props", "$.name", "Explorer").alias("name"), (arrays.json_or_wrapped(mixed) == F.lit('{"error_message":"no json"}')).alias("wrapped"))
+
+
+@query(
+    """WITH u AS (SELECT user_id, event_type, value, ts, event_id FROM events WHERE event_id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS nth FROM u),
+t AS (SELECT user_id, event_type, max(value) AS value FROM events WHERE event_id % 3 = 1 GROUP BY ALL)
+SELECT user_id, event_type, value FROM r WHERE nth = 1
+UNION ALL SELECT user_id, event_type, value FROM t WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM r)"""
+)
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    target = e.where("event_id % 3 = 1").groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
+    return mutate.upsert(target, e.where("event_id % 3 = 0"), ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()])
+
+
+@query(
+    """SELECT o_custkey AS user_id, o_orderpriority AS place_id, 'old' AS origin FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL
+UNION ALL SELECT DISTINCT o_custkey, o_orderpriority, 'new' FROM orders WHERE o_orderkey % 2 = 1 AND (o_custkey, o_orderpriority) NOT IN (SELECT (o_custkey, o_orderpriority) FROM orders WHERE o_orderkey % 2 = 0)"""
+)
+def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("place_id"), "o_orderkey")
+    old = o.where("o_orderkey % 2 = 0").select("user_id", "place_id", F.lit("old").alias("origin")).distinct()
+    return mutate.insert_ignore(old, o.where("o_orderkey % 2 = 1").select("user_id", "place_id", F.lit("new").alias("origin")), ["user_id", "place_id"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey, o_orderstatus) NOT IN (SELECT (o_custkey, o_orderstatus) FROM orders WHERE o_orderpriority = '1-URGENT')")
+def delete_anti(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    return mutate.delete(o, o.where("o_orderpriority = '1-URGENT'"), ["o_custkey", "o_orderstatus"]).select("o_orderkey", "o_custkey")
+
+
+@query(
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 8 = 0 THEN 'New ' || c_custkey END ELSE c_name END AS display_name,
+CASE WHEN c_custkey % 6 = 0 THEN 'none' ELSE c_mktsegment END AS phone FROM customer"""
+)
+def sparse_update(spark: SparkSession, d: str) -> DataFrame:
+    """Names of every fourth customer, of which half become null, and phones of every sixth."""
+    c = read(spark, d, "customer")
+    key = F.col("c_custkey")
+    target = c.select(key.alias("id"), F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("phone"))
+    name = F.when(key % 8 == 0, F.concat(F.lit("  New "), key.cast("string"), F.lit(" \t")))
+    patches = c.where("c_custkey % 4 = 0 or c_custkey % 6 = 0").select(key.alias("id"), name.alias("display_name"), (key % 4 == 0).alias("has_display_name"), F.lit(" none ").alias("phone"), (key % 6 == 0).alias("has_phone"))
+    return mutate.sparse_update(target, patches, "id", ["display_name", "phone"])
+
+
+@query(
+    """WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') SELECT 'lists' AS part, count(*) AS n FROM orders WHERE o_orderkey NOT IN (FROM gone)
+UNION ALL SELECT 'list_places', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey NOT IN (FROM gone))
+UNION ALL SELECT 'list_collaborators', count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag = 'R' FROM lineitem WHERE l_orderkey NOT IN (FROM gone))"""
+)
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Lists that go take their places and collaborators along."""
+    tables = a.sharing(spark, d)
+    tables = {k: (v if "id" in v.columns else v.withColumn("id", F.xxhash64(*v.columns))) for k, v in tables.items()}
+    gone = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
+    left = mutate.delete_cascading(tables, "lists", gone)
+    out = None
+    for name in ("lists", "list_places", "list_collaborators"):
+        counted = left[name].agg(F.lit(name).alias("part"), F.count("*").alias("n")) if name == "lists" else left[name].select(*[c for c in left[name].columns if c != "id"]).distinct().agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN o_custkey END AS place_id FROM orders")
+def set_null_reference(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("place_id"))
+    return mutate.set_null(o, read(spark, d, "customer").where("c_acctbal < 0").select("c_custkey"), "place_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def unique_violations(spark: SparkSession, d: str) -> DataFrame:
+    return mutate.duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# Status
+
+
+@query(
+    """SELECT event_id, user_id, event_type, previous FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE event_type IS DISTINCT FROM previous"""
+)
+def status_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return states.transitions(read(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", "user_id", "event_type", "previous")
+
+
+_STAGE = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'scraping' WHEN 'click' THEN 'scraped' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
+_RANK = "CASE s WHEN 'pending' THEN 0 WHEN 'scraping' THEN 1 WHEN 'scraped' THEN 2 WHEN 'completed' THEN 6 ELSE 7 END"
+
+
+@query(f"SELECT key, s AS status, event_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_RANK} DESC, ts DESC, event_id DESC) AS nth FROM (SELECT user_id % 97 * 1000 + event_id % 400 AS key, {_STAGE} AS s, ts, event_id FROM events)) WHERE nth = 1")
+def stage_rank_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The furthest status of each post, whatever the order of its events."""
+    names = {"signup": "pending", "view": "scraping", "click": "scraped", "purchase": "completed"}
+    stage = F.lit(None).cast("string")
+    for k, v in names.items():
+        stage = F.when(F.col("event_type") == k, v).otherwise(stage)
+    e = read(spark, d, "events").select((F.col("user_id") % 97 * 1000 + F.col("event_id") % 400).alias("key"), F.coalesce(stage, F.lit("failed")).alias("status"), "ts", "event_id")
+    return states.current(e, "key", states.rank("status"), ["ts", "event_id"]).select("key", "status", "event_id")
+
+
+@query(
+    """SELECT p_partkey AS id, n.n_name AS found_address, CAST(n.n_nationkey * 1.5 AS DOUBLE) AS found_latitude
+FROM part LEFT JOIN nation n ON lower(n.n_name) = 'nation_' || (p_size % 40)"""
+)
+def geocode_gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as a gazetteer of cities; some are unknown."""
+    n = read(spark, d, "nation").select(F.lit("").alias("name"), F.col("n_name").alias("city"), (F.col("n_nationkey") * 1.5).cast("double").alias("latitude"), F.lit(0.0).alias("longitude"), F.col("n_name").alias("address"), F.lit(None).cast("string").alias("neighborhood"))
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit(" Nation_"), (F.col("p_size") % 40).cast("string")).alias("city"))
+    return enrich.geocode(p, n).select("id", "found_address", "found_latitude")
