@@ -40,12 +40,14 @@ def geocode(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def reverse_geocode(points: DataFrame, gazetteer: DataFrame, cell: float = 0.01, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
-    """``neighborhood`` of the gazetteer's entry in the same cell that is nearest, or ''. Coordinates of 0 count as missing.
+    """``found_neighborhood`` of the gazetteer's entry that is nearest in the cell or the eight around it, or ''. Coordinates of 0 count as missing.
 
     Cells bound the join; entries are reduced to one per neighborhood and cell first.
     """
     at = lambda c: F.floor(F.col(c) / cell)
     entries = gazetteer.where("neighborhood is not null").groupBy(at("latitude").alias("a"), at("longitude").alias("b"), F.col("neighborhood").alias("__hood__")).agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
+    around = F.array(*[F.struct((F.col("a") + i).alias("a"), (F.col("b") + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    entries = entries.select(F.explode(around).alias("at"), "__hood__", "lat", "lon").select("at.a", "at.b", "__hood__", "lat", "lon")
     entries = entries.groupBy("a", "b").agg(F.collect_list(F.struct("__hood__", "lat", "lon")).alias("hoods"))
     known = points.withColumn("__a__", F.when(F.col(latitude) != 0, at(latitude))).withColumn("__b__", F.when(F.col(longitude) != 0, at(longitude)))
     joined = known.join(entries, (F.col("__a__") == F.col("a")) & (F.col("__b__") == F.col("b")), "left")

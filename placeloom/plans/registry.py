@@ -120,7 +120,7 @@ def cities_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH s AS ({a.SAVED_SQL}), page AS (SELECT * FROM s WHERE user_id = 7 ORDER BY created_at DESC NULLS FIRST, place_id LIMIT 10)
-SELECT p_partkey AS id, p_name AS name, epoch_us(created_at) AS saved_at FROM page JOIN part ON p_partkey = place_id WHERE p_name ILIKE '%e%' AND p_brand ILIKE '%1%'"""
+SELECT p_partkey AS id, p_name AS name, epoch_us(created_at) AS saved_at FROM page JOIN part ON p_partkey = place_id WHERE (p_name ILIKE '%e%' OR p_type ILIKE '%e%' OR p_brand ILIKE '%e%') AND p_brand ILIKE '%1%'"""
 )
 def saved_page_compat(spark: SparkSession, d: str) -> DataFrame:
     """The page is cut before the filters act."""
@@ -131,7 +131,7 @@ def saved_page_compat(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH s AS ({a.SAVED_SQL}) SELECT p_partkey AS id, p_name AS name, epoch_us(created_at) AS saved_at FROM s JOIN part ON p_partkey = place_id
-WHERE user_id = 7 AND p_name ILIKE '%e%' AND p_brand ILIKE '%1%' ORDER BY created_at DESC NULLS FIRST, p_partkey LIMIT 10"""
+WHERE user_id = 7 AND (p_name ILIKE '%e%' OR p_type ILIKE '%e%' OR p_brand ILIKE '%e%') AND p_brand ILIKE '%1%' ORDER BY created_at DESC NULLS FIRST, p_partkey LIMIT 10"""
 )
 def saved_page_fixed(spark: SparkSession, d: str) -> DataFrame:
     """The filters act before the page is cut."""

@@ -49,7 +49,7 @@ def once_per_run(events: DataFrame, run: str = "run_id", at: str = "event_time",
 
 
 def status_changes(events: DataFrame, give_up: str | None = "10 minutes") -> DataFrame:
-    """A stream ``post_id, status, previous, event_time``: a row when a post moves on; repeats and steps back give none.
+    """A stream ``post_id, status, previous, error_message, event_time``: a row when a post moves on; repeats and steps back give none.
 
     Rows of a micro-batch are taken in time order. A post that doesn't move for ``give_up`` (processing time) fails.
     """
@@ -60,22 +60,22 @@ def status_changes(events: DataFrame, give_up: str | None = "10 minutes") -> Dat
         last = state.get[0] if state.exists else None
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"post_id": [key[0]], "status": ["failed"], "previous": [last], "event_time": [pd.Timestamp.now("UTC").tz_localize(None)]})
+            yield pd.DataFrame({"post_id": [key[0]], "status": ["failed"], "previous": [last], "error_message": ["timed out"], "event_time": [pd.Timestamp.now("UTC").tz_localize(None)]})
             return
-        rows = pd.concat(list(batches)).sort_values(["event_time", "status"], kind="stable")
+        rows = pd.concat([b for b in batches if len(b)]).sort_values(["event_time", "status"], kind="stable")
         out = []
-        for status, at in zip(rows["status"], rows["event_time"]):
+        for status, error, at in zip(rows["status"], rows["error_message"], rows["event_time"]):
             over = last in ("completed", "failed")
             if not over and ranks.get(status, -1) > ranks.get(last, -2):
-                out.append((key[0], status, last, at))
+                out.append((key[0], status, last, error, at))
                 last = status
         state.update((last,))
         if wait and last not in ("completed", "failed"):
             state.setTimeoutDuration(wait)
-        yield pd.DataFrame(out, columns=["post_id", "status", "previous", "event_time"])
+        yield pd.DataFrame(out, columns=["post_id", "status", "previous", "error_message", "event_time"])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
-    return events.groupBy("post_id").applyInPandasWithState(step, "post_id string, status string, previous string, event_time timestamp", "last string", "append", timeout)
+    return events.groupBy("post_id").applyInPandasWithState(step, "post_id string, status string, previous string, error_message string, event_time timestamp", "last string", "append", timeout)
 
 
 def cached_answers(asked: DataFrame, completed: DataFrame, key: str) -> DataFrame:
