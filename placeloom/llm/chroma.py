@@ -4,7 +4,7 @@ A recording (WAV bytes, 8 or 16-bit PCM, any rate and channels) becomes pitch-cl
 over their integral image compare rectangles of time and pitch class, and each answer is quantised
 to two bits of Gray code, so a position is one packed 32-bit integer. Recordings align where equal
 integers agree on an offset: half the bits of two integers are looked up, the histogram of offsets gives the
-best one, and the share of wrong bits over the overlap decides.
+best one, and the share of wrong bits over the overlap, there and one position beside it, decides.
 
 Recordings with the same integers are one class; classes are searched by their representative (least
 id), so a hot group of copies is one row. Silence is not looked up: silent recordings only share a
@@ -150,11 +150,15 @@ def align(prints: DataFrame, asks: str, id_col: str = "id", most_wrong: float =
     hits = _looked_up(once, "own").withColumnRenamed("pos", "p").join(_looked_up(classes.where("rep is not null"), "rep"), "key").where("own <> rep")
     votes = hits.groupBy("own", "rep", (F.col("p") - F.col("pos")).alias("shift")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("own", "rep").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), "shift")).alias("b")).select("own", "rep", "b.shift", "b.votes").where(F.col("votes") >= least_votes)
+    # neighbouring offsets share the votes of a take that begins between two frames: the fewest wrong bits decide
+    best = best.withColumn("shift", F.explode(F.array(*[F.col("shift") + k for k in (-1, 0, 1)])))
     both = best.join(once, "own").join(classes.select("rep", F.col("fp").alias("other"), F.col("rows").alias("match_rows")), "rep")
     overlap = F.least(F.size("fp") - F.greatest("shift", F.lit(0)), F.size("other") + F.least("shift", F.lit(0)))
     both = both.withColumn("overlap", overlap).where(F.col("overlap") >= least_overlap)
     left = F.slice("fp", F.greatest("shift", F.lit(0)) + 1, F.col("overlap"))
     right = F.slice("other", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.col("overlap"))
     wrong = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, x: s + x)
-    both = both.withColumn("bit_error", wrong / (F.col("overlap") * 32.0)).where(F.col("bit_error") <= most_wrong).drop("fp", "other")
+    both = both.withColumn("bit_error", wrong / (F.col("overlap") * 32.0)).where(F.col("bit_error") <= most_wrong)
+    least = F.min_by(F.struct("shift", "votes", "overlap", "bit_error", "match_rows"), F.struct("bit_error", F.abs("shift"), "shift")).alias("b")
+    both = both.groupBy("own", "rep").agg(least).select("own", "rep", "b.*")
     return both.join(asking.select("query_id", "own"), "own").select("query_id", F.col("rep").alias("match_id"), "match_rows", "shift", "votes", "overlap", "bit_error")
