@@ -130,6 +130,7 @@ def plan(sample: np.ndarray, total: int, limit: int = 3) -> list[Partition]:
     """The cheapest partitions and thresholds for ``total`` fingerprints, with sum(t + 1) = limit + 1."""
     if limit < 0 or limit > 8:
         raise ValueError("limit must lie between 0 and 8 bits")
+    total = max(total, 2)  # an empty table costs nothing under any plan
     best: tuple[float, list[Partition]] | None = None
     for parts in range(1, limit + 2):
         groups = _grouped(sample, parts)

@@ -198,7 +198,9 @@ class WarcReader(DataSourceReader):
                 room += end - start
         return [*pieces, Piece(held)] if held else pieces
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Piece | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file at all
+            return
         store, _ = _opened(self.path)
         rows: list[dict] = []
         size = 0
