@@ -18,7 +18,8 @@ def words(frames: DataFrame, key: list[str], tsv: str = "tsv") -> DataFrame:
     more and some text are words.
     """
     lines = frames.select(*key, F.posexplode(F.split(tsv, "\n")).alias("pos", "row")).where("pos > 0")
-    cells = lines.select(*key, "pos", F.split("row", "\t").alias("c")).where(F.size("c") >= 12)
+    # generated, not projected: filters are merged into projections, which would split each row once per condition
+    cells = lines.select(*key, "pos", F.explode(F.array(F.split("row", "\t"))).alias("c")).where(F.size("c") >= 12)
     whole = lambda i: F.col("c")[i].try_cast("double").cast("int")
     out = cells.select(*key, "pos", whole(0).alias("level"), whole(2).alias("block"), whole(3).alias("par"), whole(4).alias("line"), whole(10).alias("conf"), trim_space(F.col("c")[11]).alias("text"))
     return out.where("level = 5 and not coalesce(conf < 0, false) and text <> ''").drop("level")

@@ -350,10 +350,10 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, text FROM l WHERE length(tex
 )
 def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     """Documents as OCR tables, eight words a line, confidences by a rule."""
-    words = F.split("text", " ")
-    row = lambda w, k: F.concat_ws("\t", F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), F.floor(k / 8).cast("string"), *[F.lit("0")] * 5, (((k + 1) * 37) % 101).cast("string"), F.regexp_replace(w, "[\n\t]", "\x01"))
+    words = F.split(F.translate("text", "\n\t", "\x01\x01"), " ")
+    row = lambda w, k: F.concat_ws("\t", F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), F.floor(k / 8).cast("string"), *[F.lit("0")] * 5, (((k + 1) * 37) % 101).cast("string"), w)
     tsv = F.concat(F.lit("header\n"), F.array_join(F.transform(words, row), "\n"))
-    table = read(spark, d, "documents").select("doc_id", tsv.alias("tsv"))
+    table = read(spark, d, "documents").select("doc_id", F.explode(F.array(tsv)).alias("tsv"))  # made once a document
     found = frames.words(table, ["doc_id"]).withColumn("text", text.trim_space(F.translate("text", "\x01", "\n")))
     return frames.clean_lines(found.where("text <> ''"), ["doc_id"])
 
