@@ -353,7 +353,9 @@ def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(F.translate("text", "\n\t", "\x01\x01"), " ")
     row = lambda w, k: F.concat_ws("\t", F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), F.floor(k / 8).cast("string"), *[F.lit("0")] * 5, (((k + 1) * 37) % 101).cast("string"), w)
     tsv = F.concat(F.lit("header\n"), F.array_join(F.transform(words, row), "\n"))
-    table = read(spark, d, "documents").select("doc_id", F.explode(F.array(tsv)).alias("tsv"))  # made once a document
+    # texts are dealt out by document before they grow into tables; the lines' grouping then needs no shuffle of its own
+    docs = read(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    table = docs.select("doc_id", F.explode(F.array(tsv)).alias("tsv"))  # made once a document
     found = frames.words(table, ["doc_id"]).withColumn("text", text.trim_space(F.translate("text", "\x01", "\n")))
     return frames.clean_lines(found.where("text <> ''"), ["doc_id"])
 
