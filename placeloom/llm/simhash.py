@@ -249,7 +249,11 @@ def near_duplicates(docs: DataFrame, limit: int = 3, id_col: str = "doc_id", tex
 
 def keep_one(docs: DataFrame, limit: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` per group, all columns: that of the least id (of repeated ids, the least text hash; of repeated rows, any)."""
-    found = near_duplicates(docs, limit, id_col, text)
+    return keep_of_groups(docs, near_duplicates(docs, limit, id_col, text), id_col, text)
+
+
+def keep_of_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row that stands for each ``root`` of ``found``, which has id, ``text_hash`` and ``root`` of each row."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "text_hash")).alias("k"))
     mark, key = fresh(docs.columns, "text_mark"), fresh(docs.columns, "kept_id")
     best = best.select(F.col("k.id").alias(key), F.col("k.text_hash").alias(mark)).distinct()
