@@ -48,7 +48,9 @@ LEFT_OUT_NAMES = frozenset(
     "notice notices alert alerts popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion "
     "footer masthead widget widgets toolbar pagination pager login search skip paywall copyright disclaimer".split()
 )
-_NAME = re.compile(r"[a-z]+")
+#: Parts that only say where or what kind of box a name such as ``left-sidebar`` means.
+PLACES = frozenset("site page main top bottom left right primary secondary global box bar list wrapper wrap container section block area inner outer button buttons link links item items panel".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 Weights = dict[str, float]
 #: In use where no labelled page is found.
@@ -59,21 +61,36 @@ UNKNOWN = -1.0
 class Node:
     """An element: where it begins and ends among the pieces, and the element around it."""
 
-    __slots__ = ("end", "name", "out", "parent", "start")
+    __slots__ = ("end", "name", "out", "parent", "start", "unless", "words")
 
-    def __init__(self, name: str, parent: Node | None, start: int, out: bool) -> None:
+    def __init__(self, name: str, parent: Node | None, start: int, out: bool, unless: Node | None = None) -> None:
         self.name, self.parent, self.start, self.out, self.end = name, parent, start, out, -1
+        #: the article that it is left out of by its name, unless it holds most of its words
+        self.unless, self.words = unless, 0
 
 
-def _is_out(name: str, attrs: str, parent: Node | None) -> bool:
-    """Whether an element is no article by what it says of itself."""
+def _named_out(token: str) -> bool:
+    """Whether a whole class or id names something left out; of parts, all must (``cookie-notice``, not ``notice-period``)."""
+    parts = [x for x in re.split(r"[-_:]+", token) if x and not x[0].isdigit()]
+    return token in LEFT_OUT_NAMES or not LEFT_OUT_NAMES.isdisjoint(parts) and all(x in LEFT_OUT_NAMES or x in PLACES for x in parts)
+
+
+def _inside(node: Node | None) -> Node | None:
+    """The article (or main) that a node is or stands in."""
+    while node is not None and node.name not in ("article", "main"):
+        node = node.parent
+    return node
+
+
+def _is_out(name: str, attrs: str, parent: Node | None) -> bool | Node:
+    """Whether an element is no article by what it says of itself; the article around it, if only its name says so there."""
     if name in LEFT_OUT:
         return True
-    if name in ("html", "body", "article", "main") and "comment" not in attrs.lower():
+    tokens = {t for key, value in _ATTR.findall(attrs) if key.lower() in ("class", "id") for t in value.strip("\"'").lower().split()} if attrs.strip() else set()
+    comment = not tokens.isdisjoint(("comment", "comments"))
+    if name in ("html", "body", "article", "main") and not comment:
         return False
-    inside = parent
-    while inside is not None and inside.name not in ("article", "main"):
-        inside = inside.parent
+    inside = _inside(parent)
     if name == "header" and inside is None:
         return True
     if not attrs.strip():
@@ -82,13 +99,13 @@ def _is_out(name: str, attrs: str, parent: Node | None) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in LEFT_OUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id"):
-            names = set(_NAME.findall(value))
-            if names & LEFT_OUT_NAMES or "header" in names and inside is None and name not in ("h1", "h2", "h3"):
-                return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-    return False
+    if inside is not None and (name in HEADINGS or name == "p"):
+        return False
+    if any(map(_named_out, tokens)):
+        return True if inside is None or comment else inside
+    return inside is None and name not in HEADINGS and any(t == "header" or t.split("-")[-1] == "header" and all(x in PLACES for x in t.split("-")[:-1]) for t in tokens)
 
 
 def pieces(page: str) -> list[tuple[str, str, Node, bool]]:
@@ -96,9 +113,11 @@ def pieces(page: str) -> list[tuple[str, str, Node, bool]]:
     root = Node("", None, 0, False)
     out: list[tuple[str, str, Node, bool]] = []
     here, at, links = root, 0, 0
+    nodes = [root]
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
+            here.words += len(raw.split())
             out.append(("", htmllib.unescape(raw), here, links > 0))
         elif raw:
             out.append(("", " ", here, links > 0))
@@ -137,13 +156,21 @@ def pieces(page: str) -> list[tuple[str, str, Node, bool]]:
                 close(node)
         out.append((name, "", here, False))
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            here = Node(name, here, len(out), here.out or _is_out(name, m["attrs"], here))
+            left = here.out or _is_out(name, m["attrs"], here)
+            here = Node(name, here, len(out), left is True, left if isinstance(left, Node) else None)
+            nodes.append(here)
             links += name == "a"
     text(page[at:])
     close_to = here
     while close_to is not None:
         close_to.end = len(out)
         close_to = close_to.parent
+    if any(n.unless for n in nodes):
+        for n in reversed(nodes):
+            if n.parent is not None and not n.out:
+                n.parent.words += n.words
+        for n in nodes:  # parents come first
+            n.out = n.out or n.parent is not None and n.parent.out or n.unless is not None and 2 * n.words <= n.unless.words
     return out
 
 

@@ -36,6 +36,21 @@ def test_odd_pages(page, text):
     assert htmltext.main_text(page, htmltext.DEFAULT) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><h2 id="related-work">Related work</h2><p id="notice-period">The notice period is long</p><p class="social">plain words</p></article>', "Related work\nThe notice period is long\nplain words"),
+        ('<main><div class="content with-sidebar"><p>one two three four five</p></div><div class="related-posts sidebar">more</div></main>', "one two three four five"),
+        ('<article><div class="overlay"><p>one two three four five six</p></div><p>seven</p><div class="share-buttons">share it</div></article>', "one two three four five six\nseven"),
+        ('<body class="no-comments"><p>one two three four</p></body>', "one two three four"), ('<article class="post comments-open"><p>one two three four</p></article>', "one two three four"),
+        ('<main><p>one two three four</p><section class="comments"><p>very many words of readers stand in here indeed</p></section></main>', "one two three four"),
+        ('<article class="comment"><p>one two three four</p></article>', ""),
+    ],
+)
+def test_names_drop_only_what_they_name(page, text):
+    assert htmltext.main_text(page, htmltext.DEFAULT) == text
+
+
 def test_region_is_the_best_run():
     import random
 
