@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,18 +31,24 @@ from .common import blocks
 LABELLED = 500
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
     r"|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Skipped up to their closing tag; without one, the first to the end of the page, the others not at all.
+RAW = frozenset("script style textarea title".split())
+SKIPPED = RAW | frozenset("noscript template iframe object select".split())
+_CLOSED = re.compile(rf"</({'|'.join(sorted(SKIPPED))})\s*>", re.I)
+#: Other tags that end an svg or math element left open, beside blocks.
+BREAKS_OUT = frozenset("b big br code em embed hr i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: What an opening tag closes, up to the given holders.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("datalist",))}
-LEFT_OUT = frozenset("nav footer aside form head dialog button menu fieldset audio video canvas map applet datalist".split())
+LEFT_OUT = frozenset("svg nav footer aside form head dialog button menu fieldset audio video canvas map applet datalist".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion banner banners sidebar sidebars rail menu menus nav navbar navigation topnav breadcrumb breadcrumbs cookie cookies consent gdpr "
@@ -129,7 +136,11 @@ def pieces(page: str) -> list[tuple[str, str, Node, bool]]:
             links -= here.name == "a"
             here = here.parent  # type: ignore[assignment]
 
-    for m in _TOKEN.finditer(page):
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSED.finditer(page):
+        ends.setdefault(m[1].lower(), []).append(m.span())
+    foreign: Node | None = None  # the svg or math element that it is in
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         if m["cdata"]:
@@ -137,13 +148,32 @@ def pieces(page: str) -> list[tuple[str, str, Node, bool]]:
         if not m["name"]:
             continue
         name = m["name"].lower()
+        closed = m["attrs"].rstrip().endswith("/")
+        if name in SKIPPED and not m["close"] and m["attrs"][:1] in ("", "/", *" \t\n\r\f") and not (foreign and closed):
+            after = ends.get(name, [])
+            k = bisect_left(after, (at, at))
+            if k < len(after) or name in RAW:
+                at = after[k][1] if k < len(after) else len(page)
+                continue
+        if foreign and not m["close"] and (name in BLOCK or name in BREAKS_OUT):
+            holder: Node | None = here
+            while holder is not foreign and holder is not None and holder.name != "foreignobject":
+                holder = holder.parent
+            if holder is foreign:
+                close(foreign)
+                foreign = None
         if m["close"]:
             node: Node | None = here
             while node is not None and node.name != name:
                 node = node.parent
             if node is not None and node is not root:
                 close(node)
-            out.append((name, "", here, False))
+                inner: Node | None = here
+                while foreign and inner is not foreign and inner is not None:
+                    inner = inner.parent
+                foreign = inner if foreign else None
+            if not foreign:
+                out.append((name, "", here, False))
             continue
         if name in BLOCK:
             names, stop = CLOSES.get(name, ("p", ()))
@@ -154,11 +184,14 @@ def pieces(page: str) -> list[tuple[str, str, Node, bool]]:
                 node = node.parent  # type: ignore[assignment]
             if node is not root and node.name in names.split():
                 close(node)
-        out.append((name, "", here, False))
-        if name not in VOID and not m["attrs"].rstrip().endswith("/"):
+        if not foreign:  # the tags inside don't count
+            out.append((name, "", here, False))
+        if name not in VOID and not closed:
             left = here.out or _is_out(name, m["attrs"], here)
             here = Node(name, here, len(out), left is True, left if isinstance(left, Node) else None)
             nodes.append(here)
+            if foreign is None and name in ("svg", "math"):
+                foreign = here
             links += name == "a"
     text(page[at:])
     close_to = here

@@ -51,6 +51,23 @@ def test_names_drop_only_what_they_name(page, text):
     assert htmltext.main_text(page, htmltext.DEFAULT) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><svg class="icon"/><p>one two three</p><svg><title/><text>drawn</text></svg><p>four five</p></article>', "one two three\nfour five"),
+        ("<article><p>so <math/>that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here</p></article>", "so that x=2 holds here"), ("<article><svg><path d='m'><p>one two three</p></article>", "one two three"),
+        ("<article><select-x>one two</select-x> <object-y>three four</object-y></article>", "one two three four"), ("<article><iframe src=x><p>one two three</p></article>", "one two three"),
+        ("<article><p>one two</p><noscript>gone</noscript><select><option>gone</select><p>three</p></article>", "one two\nthree"), ("<p>one two three</p><textarea>to the end <p>gone gone gone", "one two three"),
+    ],
+)
+def test_raw_and_foreign_elements(page, text):
+    assert htmltext.main_text(page, htmltext.DEFAULT) == text
+
+
+def test_many_unclosed_frames():
+    assert htmltext.main_text("<iframe></iframe><article>" + "<p>a b c<iframe>" * 20_000, htmltext.DEFAULT).count("\n") == 19_999
+
+
 def test_region_is_the_best_run():
     import random
 
