@@ -57,6 +57,8 @@ LEFT_OUT_NAMES = frozenset(
 )
 #: Parts that only say where or what kind of box a name such as ``left-sidebar`` means.
 PLACES = frozenset("site page main top bottom left right primary secondary global box bar list wrapper wrap container section block area inner outer button buttons link links item items panel".split())
+#: Blocks of text that stand for no region by themselves where they stand directly in the page's body.
+TEXT_BLOCKS = frozenset("p pre blockquote ul ol menu dl li dt dd h1 h2 h3 h4 h5 h6 hgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 Weights = dict[str, float]
@@ -244,6 +246,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def _ends_region(node: Node) -> bool:
+    """Whether a piece's element stands in a block that is left out (of what is left out in a line, the line goes on)."""
+    while node.out:
+        if node.name in BLOCK:
+            return True
+        node = node.parent  # type: ignore[assignment]
+    return False
+
+
 def main_text(page: str | None, by: Weights) -> str:
     """The page's main text."""
     if not page:
@@ -268,7 +279,15 @@ def main_text(page: str | None, by: Weights) -> str:
         holder = holder.parent
     if holder is not None and holder.name == "p" and holder.parent is not None and holder.parent.name not in ("", "html", "body"):
         holder = holder.parent
-    if holder is not None and holder.name not in ("", "html", "body"):
+    outer = holder
+    while outer is not None and outer.name in TEXT_BLOCKS:
+        outer = outer.parent
+    if outer is None or outer.name in ("", "html", "body"):
+        while first and not _ends_region(all_pieces[first - 1][2]):
+            first -= 1
+        while last < len(all_pieces) and not _ends_region(all_pieces[last][2]):
+            last += 1
+    elif holder is not None:
         first, last = holder.start, holder.end
     while first and all_pieces[first - 1][0] not in BLOCK:  # whole blocks
         first -= 1

@@ -68,6 +68,18 @@ def test_many_unclosed_frames():
     assert htmltext.main_text("<iframe></iframe><article>" + "<p>a b c<iframe>" * 20_000, htmltext.DEFAULT).count("\n") == 19_999
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><nav><a>Home</a></nav><h1>News</h1><p>{'word ' * 40}</p><p>Thanks.</p></body>", f"News\n{('word ' * 40).strip()}\nThanks."),
+        (f"<h1>News</h1><ul><li>{'word ' * 40}</ul><p>Thanks.</p><footer>Foot</footer><p>after</p>", f"News\n{('word ' * 40).strip()}\nThanks."),
+        (f"<body><h1>A <button>x</button>title</h1><p>{'word ' * 40}</p></body>", f"A title\n{('word ' * 40).strip()}"),
+    ],
+)
+def test_short_blocks_in_the_body_stay(page, text):
+    assert htmltext.main_text(page, htmltext.DEFAULT) == text
+
+
 def test_region_is_the_best_run():
     import random
 
