@@ -2,11 +2,13 @@
 
 Rolling hashes of n-grams of several lengths, computed with numpy on the UTF-8 bytes of many texts
 at once, mark the words that lie inside n-grams met before in the same text; the rules bound the
-share of characters that they and duplicate lines hold. A word is a run of anything but ASCII white
-space; a line counts if it has a word.
+share of characters that they and duplicate lines hold, and the share of words studded with symbols
+(``word###``) or made of symbols in lines of more than 20 such words (``one | two | three`` without
+end). Fewer to a line, as in tables and code, count in ``n_symbols`` only. A word is a run of anything but ASCII white space; a line counts if it has a word.
 
-Null and empty texts have no word and fail. Each repeated row is judged alike. Extra columns are
-kept by ``keep_good`` and ignored by ``signals``. An empty table gives an empty result.
+Null and empty texts have no word and fail. A very long text is measured whole; memory follows its
+length, some 60 bytes a byte. Each repeated row is judged alike. Extra columns are kept by
+``keep_good`` and ignored by ``signals``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, mix64, span_hashes, utf8
+from .common import powers, blocks, mix64, span_hashes, utf8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,7 +38,8 @@ class Rules:
     most_repeat_percent: int = 20
     most_in_ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
     most_in_lines: float = 0.20
-    most_symbols_a_word: float = 0.25
+    most_studded: float = 0.25
+    most_bars: int = 20
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,6 +86,16 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, np
     own = mix64(np.arange(1, docs + 1, dtype=np.uint64) * _TURN)  # sets the texts of a block apart
     out = {"n_words": np.diff(at), "word_chars": _sums(chars, at), "n_symbols": _sums(_SYMBOL[data], offsets)}
 
+    # studded words hold other characters and a run of three symbols
+    symbol = _SYMBOL[data]
+    runs = np.flatnonzero(symbol[:-2] & symbol[1:-1] & symbol[2:])
+    word = np.searchsorted(starts, runs, "right") - 1
+    studded = np.zeros(n, bool)
+    studded[word[runs + 3 <= ends[word]]] = True
+    bare = np.r_[0, np.cumsum(symbol)]
+    bare = bare[ends] - bare[starts] == ends - starts
+    studded &= ~bare
+
     opens = np.zeros(n_bytes, bool)
     feeds = np.flatnonzero(data == 0x0A)
     opens[feeds[feeds + 1 < n_bytes] + 1] = True
@@ -92,6 +105,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, np
     tails = tails - (data[tails - 1] == 0x0A) if len(heads) else tails
     words_in = np.searchsorted(starts, tails) - np.searchsorted(starts, heads)
     heads, tails = heads[words_in > 0], tails[words_in > 0]
+    line = np.searchsorted(heads, starts, "right") - 1
+    out["n_studded"] = _sums(studded | bare & (np.bincount(line[bare], minlength=len(heads)) > rules.most_bars)[line], at)
     line_doc = np.searchsorted(offsets, heads, "right") - 1
     _, again = _repeats(span_hashes(data, heads, tails) ^ own[line_doc])
     out["n_dup_lines"] = np.bincount(line_doc[again], minlength=docs)
@@ -99,7 +114,9 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, np
     in_line = total[np.searchsorted(starts, tails)] - total[np.searchsorted(starts, heads)]
     out["dup_line_chars"] = np.bincount(line_doc[again], weights=in_line[again], minlength=docs).astype(np.int64)
 
-    words = span_hashes(data, starts, ends)
+    up, down = powers(n + 1)
+    rolled = np.zeros(n + 1, np.uint64)
+    np.cumsum(span_hashes(data, starts, ends) * up[:n], out=rolled[1:])
     last = np.repeat(at[1:], np.diff(at))
     for k, length in enumerate([rules.window, *sorted(rules.most_in_ngrams)]):
         if not k:
@@ -108,10 +125,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, np
             begin = base[base + length <= last[base]]
         else:
             begin = np.flatnonzero(np.arange(n) + length <= last)
-        keys = own[doc[begin]]
-        for j in range(length):
-            keys = (keys + words[begin + j]) * _TURN
-            keys ^= keys >> np.uint64(29)
+        # an n-gram's hash follows from the sums at its ends, for any length
+        keys = mix64((rolled[begin + length] - rolled[begin]) * down[begin] + own[doc[begin]])
         twice, later = _repeats(keys)
         if not k:
             base = begin[twice]
@@ -120,7 +135,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, np
             out[f"dup_{length}gram_chars"] = _sums(np.where(_covered(begin[later], length, n), chars, 0), at)
     out["base_failed"] = (out["n_words"] < rules.least_words) | (100 * out["n_repeat_words"] > rules.most_repeat_percent * out["n_words"])
     room = np.maximum(out["word_chars"], 1)
-    good = ~out["base_failed"] & (out["dup_line_chars"] <= rules.most_in_lines * room) & (out["n_symbols"] <= rules.most_symbols_a_word * out["n_words"])
+    good = ~out["base_failed"] & (out["dup_line_chars"] <= rules.most_in_lines * room) & (out["n_studded"] <= rules.most_studded * out["n_words"])
     for length, most in rules.most_in_ngrams.items():
         good &= out[f"dup_{length}gram_chars"] <= most * room
     out["kept"] = good
@@ -131,7 +146,7 @@ def signals(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id",
     """Per row: the id, the counts (longs), ``base_failed`` and ``kept``."""
     rules = rules or Rules()
     rows = docs.select(id_col, text)
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{k}gram_chars" for k in sorted(rules.most_in_ngrams))]
+    longs = ["n_words", "word_chars", "n_symbols", "n_studded", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{k}gram_chars" for k in sorted(rules.most_in_ngrams))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text):

@@ -24,7 +24,11 @@ def plain(text: str | None, rules: quality.Rules = quality.Rules()) -> dict:
     for k, g in enumerate(grams(5)):
         if times[g] > 1:
             covered.update(range(k, k + 5))
-    out = {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dup, "n_repeat_words": len(covered), "dup_line_chars": dup_chars}
+    symbols_only = lambda w: re.fullmatch(r"[#*$%&|<>]+", w)
+    studded = sum(bool(re.search(r"[#*$%&|<>]{3}", w) and not symbols_only(w)) for w in words)
+    bars = [sum(bool(symbols_only(w)) for w in WORD.findall(line)) for line in text.split("\n")]
+    studded += sum(n for n in bars if n > rules.most_bars)
+    out = {"n_studded": studded, "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dup, "n_repeat_words": len(covered), "dup_line_chars": dup_chars}
     good = True
     for n, most in rules.most_in_ngrams.items():
         before, inside = set(), set()
@@ -35,7 +39,7 @@ def plain(text: str | None, rules: quality.Rules = quality.Rules()) -> dict:
         out[f"dup_{n}gram_chars"] = sum(len(words[k]) for k in inside)
         good &= out[f"dup_{n}gram_chars"] <= most * max(1, out["word_chars"])
     out["base_failed"] = len(words) < 10 or 100 * len(covered) > 20 * len(words)
-    good &= dup_chars <= rules.most_in_lines * max(1, out["word_chars"]) and out["n_symbols"] <= rules.most_symbols_a_word * len(words)
+    good &= dup_chars <= rules.most_in_lines * max(1, out["word_chars"]) and studded <= rules.most_studded * len(words)
     out["kept"] = not out["base_failed"] and good
     return out
 
@@ -80,3 +84,12 @@ def test_labelled_quality(spark, sf_dir):
     got = quality.signals(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(labels, "doc_id").collect()
     bad, good = [r["kept"] for r in got if r["quality"] == 0], [r["kept"] for r in got if r["quality"] == 1]
     assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.9 * len(good)
+
+
+def test_tables_and_code_stay(spark):
+    table = "".join(f"| item {k} | {k * 37 % 101} % | <b>{k * k}</b> |\n" for k in range(20, 60))
+    code = "".join(f"if (a{k} && b{k} > {k}) {{ x{k} = y{k} << {k}; *p{k} |= {k * 7}; }} // ## step {k}\n" for k in range(30))
+    junk = " ".join(f"word{k}{'###' if k % 2 else '$$$'}" for k in range(200))
+    bars = " | ".join(f"word{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, table), (2, code), (3, junk), (4, bars)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs).collect()) == [1, 2]
