@@ -7,7 +7,8 @@ thresholds, by the candidates that a sample of fingerprints lets expect at the t
 them. A partition of threshold t is probed with all keys within t bits. Verified links are reduced
 to a spanning forest in each bucket, so a dense bucket doesn't emit its pairs.
 
-Null and word-less texts have fingerprint 0 and link like any other. Repeated rows keep their rows;
+Null and word-less texts have fingerprint 0 and link like any other. A very long text is
+fingerprinted whole; memory follows its length, some 30 bytes a byte. Repeated rows keep their rows;
 null ids take part but are never a component's id (a component of null ids has a null id). Extra
 columns are ignored. An empty table gives an empty result.
 """
@@ -94,7 +95,7 @@ def _equal_pairs(keys: np.ndarray) -> float:
 def _grouped(sample: np.ndarray, parts: int) -> list[list[int]]:
     """Bits in groups of nearly equal width; each group takes the bits that correlate most with it."""
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
-    bits -= bits.mean(axis=0)
+    bits -= bits.mean(axis=0) if len(sample) else 0.0
     norm = np.sqrt((bits**2).sum(axis=0)) + 1e-9
     corr = np.abs(bits.T @ bits) / np.outer(norm, norm)
     left, groups = list(range(64)), []
@@ -253,14 +254,16 @@ def keep_one(docs: DataFrame, limit: int = 3, id_col: str = "doc_id", text: str
 
 
 def keep_of_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row that stands for each ``root`` of ``found``, which has id, ``text_hash`` and ``root`` of each row."""
-    best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "text_hash")).alias("k"))
-    mark, key = fresh(docs.columns, "text_mark"), fresh(docs.columns, "kept_id")
-    best = best.select(F.col("k.id").alias(key), F.col("k.text_hash").alias(mark)).distinct()
-    row = fresh([*docs.columns, mark, key], "nth")
-    docs = docs.withColumn(mark, F.xxhash64(text))
-    joined = docs.join(best.withColumnRenamed(mark, f"{mark}_"), docs[id_col].eqNullSafe(F.col(key)) & (docs[mark] == F.col(f"{mark}_")))
-    from pyspark.sql import Window
-
-    first = Window.partitionBy(F.col(id_col), F.col(mark)).orderBy(F.lit(1))
-    return joined.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row, mark, key, f"{mark}_")
+    """The row that stands for each ``root`` of ``found``, which has id, ``text_hash`` and ``root`` of each row.
+
+    All is decided on narrow rows; the texts are shuffled once, in the join with the kept keys. Rows that are
+    repeated with id and text are reduced to one before they are shuffled, so none of them is a hot key.
+    """
+    key, mark, rows = (fresh(docs.columns, c) for c in ("kept_id", "text_mark", "row"))
+    keyed = found.groupBy("root", F.struct(F.col(id_col)).alias("k"), "text_hash").agg((F.count("*") > 1).alias("many"))  # a struct equals another with a null
+    least = F.min(F.struct(F.col(f"k.`{id_col}`").isNull().alias("n"), "k", "text_hash", "many")).alias("b")
+    best = stored(keyed.groupBy("root").agg(least).select(F.col("b.k").alias(key), F.col("b.text_hash").alias(mark), "b.many"), "kept")
+    docs = docs.select(F.struct(F.col(id_col)).alias(key), F.xxhash64(text).alias(mark), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(rows))
+    single = docs.join(best.where("not many").select(key, mark), [key, mark]).select(rows)
+    repeated = docs.join(small(best.where("many").select(key, mark)), [key, mark], "left_semi").groupBy(key, mark).agg(F.first(rows).alias(rows)).select(rows)
+    return single.unionByName(repeated).select(f"`{rows}`.*")
