@@ -1,10 +1,11 @@
-"""Helpers that several operators share: scratch tables, Arrow text buffers, checked broadcasts."""
+"""Helpers that several operators share: scratch tables, Arrow text buffers, checked broadcasts, what workers keep."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the session names none (tests), a fresh local folder becomes the checkpoint folder.
-    """
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; without one there is nowhere to write."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="placeloom-")
-        spark.sparkContext.setCheckpointDir(path)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path.rstrip("/")
 
 
@@ -67,8 +64,33 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``most`` bytes of text each (one row at least), so memory doesn't follow the batch size."""
+_KEPT: dict[object, Any] = {}
+
+
+def keep(key: object, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task: one thing at most, so that the stages of a session don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 18, keeps: object = None) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``most`` bytes of text each (one row at least), so memory doesn't follow the batch size.
+
+    What the worker keeps for anything but ``keeps`` is dropped; freed memory goes back at the end of the partition.
+    """
+    if keeps not in _KEPT:
+        _KEPT.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,6 +99,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+    release()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -91,22 +114,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _ODD = 0x5851F42D4C957F2D
+_CHUNK = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        up, down = np.full(size, _ODD, np.uint64), np.full(size, pow(_ODD, -1, 1 << 64), np.uint64)
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base modulo 2^64, and of its inverse; those of a chunk are kept."""
+    if n > _CHUNK or not _POWERS:
+        up, down = np.full(max(n, _CHUNK), _ODD, np.uint64), np.full(max(n, _CHUNK), pow(_ODD, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _POWERS[:] = np.cumprod(up), np.cumprod(down)
+        made = [np.cumprod(up), np.cumprod(down)]
+        if n > _CHUNK:
+            return made
+        _POWERS[:] = made
     return _POWERS
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by prefix sums of a polynomial modulo 2^64; equal spans have equal hashes."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each byte span, by prefix sums of a polynomial modulo 2^64; equal spans have equal hashes.
+
+    Spans must be in order and not overlap: they are hashed by chunks of about ``_CHUNK`` bytes, so that memory doesn't
+    follow the length of a text (but that of its longest span).
+    """
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        first = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, first + _CHUNK, "left")))
+        part = data[first : int(ends[b - 1])]
+        up, down = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        s, e = starts[a:b] - first, ends[a:b] - first
+        out[a:b] = (sums[e] - sums[s]) * down[s]
+        a = b
+    return mix64(out)

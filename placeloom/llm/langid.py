@@ -9,10 +9,16 @@ texts, and most of the way to what texts get from the models of the other langua
 unknown language would. So a text that quotes another language stays.
 
 The models are fitted on a bounded sample of labelled rows: about ``docs_per_lang`` distinct whole
-texts a language, chosen by hash. Null labels and null texts teach nothing; without any labelled
-text every prediction is ``und``. Null, empty and letter-less texts are ``und`` with score 0; ties
-go to the language first in code-point order; repeated rows are judged alike. Extra columns are
-kept by ``keep_known``. An empty table gives an empty result.
+texts a language, chosen by hash, with ``CHARS_PER_LANG`` characters at most, of the ``LANGS``
+languages with the most labelled texts. A model stops taking texts when it has its share of the
+``GRAMS`` n-grams that all models may hold, so what comes to the driver and lies in a worker is
+bounded, however many labels there are.
+
+Null labels and null texts teach nothing; without any labelled text every prediction is ``und``.
+Null, empty and letter-less texts are ``und`` with score 0; a very long text is scored whole, in
+pieces, so that memory follows the length of the text itself only; ties go to the language first in
+code-point order; repeated rows are judged alike. Extra columns are kept by ``keep_known``. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +28,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, small, stored
+from .common import blocks, keep, mix64, stored
 
 ORDER = 5
 #: Labelled texts that one language's model is fitted and calibrated on, about.
 DOCS_PER_LANG = 400
+#: Most characters of them.
+CHARS_PER_LANG = 4_000_000
+#: Most languages, and most n-grams and contexts of all models (16 bytes each).
+LANGS = 256
+GRAMS = 1_500_000
 #: A fifth of them calibrate; the limit lets this share of them pass.
 PASS_SHARE = 0.995
 #: Where the limit lies from a language's own texts (0) to those of unknown languages (1).
@@ -39,7 +50,8 @@ LEAST_DEVIATIONS = 4.0
 SHARPNESS = 20.0
 
 _TURN = np.uint64(0xD6E8FEB86659FD93)
-_SLOTS = 1 << 19
+#: Log-probabilities that a worker's table holds, and that are looked up at once.
+_TABLE, _PIECE = 1 << 21, 1 << 18
 _LETTERS: list[np.ndarray] = []
 
 
@@ -115,25 +127,26 @@ def _merged(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray
     return [c[first] for c in cols[:-1]], np.bincount(inverse, weights=cols[-1], minlength=len(first))
 
 
-def fit(lang: str, texts: list[str], order: int = ORDER) -> Model:
-    """The model of one language; every fifth text calibrates (all do if there are few)."""
+def fit(lang: str, texts: list[str], order: int = ORDER, most: int = GRAMS) -> Model:
+    """The model of one language, of about ``most`` n-grams and contexts at most; every fifth text calibrates (all do if there are few)."""
     held = texts[::5] if len(texts) >= 10 else texts
     taught = [t for k, t in enumerate(texts) if k % 5] if len(texts) >= 10 else texts
+    taught = [t for t in taught if 2 * len(t) <= most] or taught[:1]
     table: list[list[np.ndarray]] = []
     block: list[str] = []
     for k, t in enumerate(taught):
         block.append(t)
-        if sum(map(len, block)) > 1_000_000 or k == len(taught) - 1:
+        if sum(map(len, block)) > min(200_000, most // 4) or k == len(taught) - 1:
             codes, _, counts = symbols(block, order)
             g, at = grams(codes, order), np.flatnonzero(counts)
             # n-gram hashes of this position, longest first, then those of its contexts
             row = [x[at] for x in reversed(g)] + [x[at - 1] for x in reversed(g[:-1])]
             _, first, n = np.unique(row[0], return_index=True, return_counts=True)
             table.append([*(c[first] for c in row), n.astype(float)])
-            if len(table) > 8:
-                cols, n = _merged(table)
-                table = [[*cols, n]]
-            block = []
+            cols, n = _merged(table)
+            table, block = [[*cols, n]], []
+            if sum(len(np.unique(c)) for c in cols) > most:
+                break
     model = Model(lang)
     cols, count = _merged(table)
     tables = []
@@ -191,23 +204,26 @@ def _rows(model: Model) -> pa.Table:
     return pa.table({"lang": pa.array([model.lang] * len(kind)), "kind": kind.astype(np.int32), "hash": np.concatenate(hashes).view(np.int64), "value": np.concatenate(values).astype(np.float64)})
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDER, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Model]:
-    """One model per non-null label, in code-point order; the models, bounded by the sample, come to the driver."""
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDER, id_col: str = "doc_id", text: str = "text", lang: str = "lang", langs: int = LANGS, grams: int = GRAMS) -> list[Model]:
+    """One model per non-null label, in code-point order; the models, bounded by the parameters, come to the driver."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("h")).where("lang is not null and text is not null")
-    counts = small(stored(docs.select(F.col(lang).alias("lang")).where("lang is not null").groupBy("lang").count(), "langs"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
+    counts = stored(counts, "langs")
+    each = max(2_000, grams // max(1, counts.count()))
     below = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count")) * F.lit(2.0**64)
-    sample = rows.join(counts, "lang").where(F.col("h").cast("double") <= below).select("lang", "text").distinct()
-    sample = stored(sample, "lang-sample")
+    sample = rows.join(F.broadcast(counts), "lang").where(F.col("h").cast("double") <= below).select("lang", "text").distinct()  # `langs` rows at most
+    upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    sample = stored(sample.withColumn("upto", upto).where(F.col("upto") <= CHARS_PER_LANG).drop("upto"), "lang-sample")
 
     def run(table: pa.Table) -> pa.Table:
         texts = sorted(table.column("text").to_pylist(), key=lambda t: hash_text(t))
-        return _rows(fit(table.column("lang")[0].as_py(), texts, order))
+        return _rows(fit(table.column("lang")[0].as_py(), texts, order, each))
 
     got = sample.groupBy("lang").applyInArrow(run, "lang string, kind int, hash long, value double").toArrow()
-    langs, kind, hashes, values = (got.column(k).to_numpy() for k in range(4))
+    langs_of, kind, hashes, values = (got.column(k).to_numpy() for k in range(4))
     models = []
-    for name in sorted(set(langs)):
-        own = langs == name
+    for name in sorted(set(langs_of)):
+        own = langs_of == name
         k, h, v = kind[own], hashes[own].view(np.uint64), values[own]
         part = lambda n: (h[k == n][o := np.argsort(h[k == n])], v[k == n][o])
         own_values = [float(v[k == 200 + n][0]) for n in range(3)]
@@ -223,7 +239,7 @@ def _calibrate(sample: DataFrame, models: list[Model], order: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value[1], order)
-        for batch in blocks(batches, "text", 1 << 20):
+        for batch in blocks(batches, "text"):
             entropy, n = scorer.entropies(*symbols(batch.column(1).to_pylist(), order)[:3])
             known = {m.lang: k for k, m in enumerate(scorer.models)}
             entropy[np.arange(len(n)), [known[x] for x in batch.column(0).to_pylist()]] = np.inf
@@ -231,6 +247,7 @@ def _calibrate(sample: DataFrame, models: list[Model], order: int) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), pa.array(entropy.min(axis=1)), pa.array(n)], ["best", "entropy", "n"])
 
     got = sample.mapInArrow(run, "best int, entropy double, n long").where("n >= 200").select("best", "entropy").toArrow()
+    shared.unpersist()
     best, entropy = got.column(0).to_numpy(), got.column(1).to_numpy()
     for k, model in enumerate(models):
         near = entropy[best == k] if (best == k).sum() >= 20 else entropy
@@ -251,14 +268,30 @@ class Scorer:
 
     def __init__(self, models: list[Model], order: int = ORDER) -> None:
         self.models, self.order = models, order
-        self.keys = np.zeros(_SLOTS, np.uint64)
-        self.logs = np.zeros((_SLOTS, len(models)), np.float32)
+        self.slots = 1 << max(6, (_TABLE // max(1, len(models))).bit_length() - 1)
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.logs = np.zeros((self.slots, len(models)), np.float32)
 
     def entropies(self, codes: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy of each text under each model, and the characters that count (1 at least)."""
-        g, at = grams(codes, self.order), np.flatnonzero(counts)
+        """Cross-entropy of each text under each model, and the characters that count (1 at least); pieces of a block at a time."""
+        sums, n = np.zeros((len(offsets) - 1, len(self.models))), np.zeros(len(offsets) - 1, np.int64)
+        step = max(1024, _PIECE // max(1, len(self.models)))
+        for a in range(0, len(codes), step):
+            low = max(0, a - self.order)
+            at = np.flatnonzero(counts[a : a + step]) + a
+            if len(at):
+                logs = self._logs(grams(codes[low : a + step], self.order), at - low)
+                doc = np.searchsorted(offsets, at, "right") - 1
+                turn = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                sums[doc[turn]] += np.add.reduceat(logs, turn, axis=0, dtype=np.float64)
+                n[doc[turn]] += np.diff(np.r_[turn, len(at)])
+        n = np.maximum(n, 1)
+        return -sums / n[:, None], n
+
+    def _logs(self, g: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the characters at some positions, a column for each model."""
         keys = mix64(g[-1][at]) | np.uint64(1)
-        slot = (keys >> np.uint64(1) & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slot = (keys >> np.uint64(1) & np.uint64(self.slots - 1)).astype(np.int64)
         logs = self.logs[slot]
         missed = np.flatnonzero(self.keys[slot] != keys)
         if len(missed):
@@ -269,13 +302,7 @@ class Scorer:
             logs[missed] = found[inverse]
             self.keys[slot[missed[first]]] = new
             self.logs[slot[missed[first]]] = found
-        edges = np.searchsorted(at, offsets)
-        sums = np.zeros((len(offsets) - 1, len(self.models)))
-        filled = np.flatnonzero(np.diff(edges) > 0)
-        if len(filled):
-            sums[filled] = np.add.reduceat(logs, edges[:-1][filled], axis=0, dtype=np.float64)
-        n = np.maximum(np.diff(edges), 1)
-        return -sums / n[:, None], n
+        return logs
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
@@ -294,16 +321,6 @@ class Scorer:
         return names, np.where(has, score, 0.0), ~has | (lowest - 3 * np.sqrt(within / n) > limit)
 
 
-def _scorer(shared) -> Scorer:
-    """One scorer per worker process and broadcast."""
-    if _SCORERS.get("of") != shared.value[0]:
-        _SCORERS.update(of=shared.value[0], it=Scorer(shared.value[1]))
-    return _SCORERS["it"]
-
-
-_SCORERS: dict = {}
-
-
 def _share(docs: DataFrame, models: list[Model]):
     import uuid
 
@@ -315,8 +332,10 @@ def identify(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text:
     shared, rows = _share(docs, models), docs.select(id_col, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text, 1 << 20):
-            names, score, rejected = _scorer(shared)(batch.column(1).to_pylist())
+        mark, found = shared.value
+        scorer = keep(("langid", mark), lambda: Scorer(found))
+        for batch in blocks(batches, text, keeps=("langid", mark)):
+            names, score, rejected = scorer(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, lang_pred string, score double, rejected boolean")
@@ -327,7 +346,9 @@ def keep_known(docs: DataFrame, models: list[Model], text: str = "text") -> Data
     shared = _share(docs, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text, 1 << 20):
-            yield batch.filter(pa.array(~_scorer(shared)(batch.column(text).to_pylist())[2]))
+        mark, found = shared.value
+        scorer = keep(("langid", mark), lambda: Scorer(found))
+        for batch in blocks(batches, text, keeps=("langid", mark)):
+            yield batch.filter(pa.array(~scorer(batch.column(text).to_pylist())[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -51,7 +51,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = CachedTokenizer.of(tokenizer)
-        for batch in blocks(batches, "text", 1 << 20):
+        for batch in blocks(batches, "text", keeps=("tokenizer", tokenizer)):
             ids, offsets = coder.encode(*utf8(batch.column(1)))
             n = batch.num_rows
             full = np.insert(ids.astype("<u4"), offsets[1:], end_id)

@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-from .common import span_hashes
+from .common import keep, span_hashes
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
@@ -21,8 +21,9 @@ _LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
 #: First bytes of characters that are surely no white space: visible ASCII, and two-byte characters from U+00C0.
 _RIGHT = np.zeros(256, bool)
 _RIGHT[0x21:0x7F] = _RIGHT[0xC3:0xE0] = True
-_SLOTS = 1 << 22
-_LOADED: dict[str, CachedTokenizer] = {}
+_SLOTS = 1 << 20
+#: Pieces that go through the tokenizer at once.
+_AT_ONCE = 4096
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -46,9 +47,9 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 class CachedTokenizer:
-    """One per worker process; the cache is emptied when it holds ``most`` pieces."""
+    """One per worker process; the cache is emptied when it holds ``most`` pieces or ``4 * most`` ids."""
 
-    def __init__(self, path: str, most: int = 2_000_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,9 +60,7 @@ class CachedTokenizer:
 
     @staticmethod
     def of(path: str) -> CachedTokenizer:
-        if path not in _LOADED:
-            _LOADED[path] = CachedTokenizer(path)
-        return _LOADED[path]
+        return keep(("tokenizer", path), lambda: CachedTokenizer(path))
 
     def _clear(self) -> None:
         self.keys = np.zeros(_SLOTS, np.uint64)
@@ -100,7 +99,7 @@ class CachedTokenizer:
         starts = np.flatnonzero(begin)
         ends = np.r_[starts[1:], len(data)]
         keys = span_hashes(data, starts, ends)
-        if self.entries > self.most:
+        if self.entries > self.most or self.filled > 4 * self.most:
             self._clear()
         slot = (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
         entry = self.entry[slot]
@@ -110,7 +109,9 @@ class CachedTokenizer:
             where = missed[first]
             raw = data.tobytes()
             base = self.entries
-            self._add([raw[s:e].decode() for s, e in zip(starts[where].tolist(), ends[where].tolist())])
+            for k in range(0, len(where), _AT_ONCE):
+                some = where[k : k + _AT_ONCE]
+                self._add([raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist())])
             entry[missed] = base + inverse
             self.keys[slot[where]] = new
             self.entry[slot[where]] = base + np.arange(len(new), dtype=np.int32)
