@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import itertools
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -64,6 +66,133 @@ def test_raw_and_foreign_elements(page, text):
     assert htmltext.main_text(page, htmltext.DEFAULT) == text
 
 
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize("holder", ['<div class="content no-sidebar">', '<div class="site has-sidebar">', '<div class="social-policy-essay">', '<div class="share-price">', '<form id="aspnetForm">', "<div class=overlay>", "<section>", "<td>"])
+def test_holders_of_a_whole_article(holder):
+    end = f"</{re.match('<([a-z]+)', holder)[1]}>"
+    page = f"<body><nav><a>Home</a></nav>{holder}<h1>Its title</h1><p>{LONG}</p><p>Short.</p><div class=ad>Buy this</div><p>{LONG}</p>{end}<div class=sidebar>at the side</div><footer>Foot</footer></body>"
+    assert htmltext.main_text(page, htmltext.DEFAULT) == f"Its title\n{LONG.strip()}\nShort.\n{LONG.strip()}"
+
+
+def test_the_region_decides():
+    """Two candidates without any name: the better one wins, whatever is marked as an article."""
+    links = "<div>" + "".join(f"<a href={k}>link to page {k}</a> " for k in range(30)) + "</div>"
+    page = f"<body>{links}<div><div><p>{LONG}</p></div><div><p>{LONG} more</p></div></div>{links}</body>"
+    assert htmltext.main_text(page, htmltext.DEFAULT) == f"{LONG.strip()}\n{LONG}more"
+    small = f"<body><article><p>a few words</p></article>{links}<div><h1>Title</h1><p>{LONG}</p></div></body>"
+    assert htmltext.main_text(small, htmltext.DEFAULT) == f"Title\n{LONG.strip()}"
+
+
+def test_names_are_weighed_by_labels():
+    """A name that labelled pages only have outside articles is left out; one that they have inside stays, whatever it is called."""
+    page = "<nav>x</nav><article><p>" + LONG + "</p><div class=notice>noted well here</div></article><div class=tracks>some other words out here</div>"
+    names, tags = Counter(), Counter()
+    for _ in range(50):
+        names.update(htmltext.name_counts(page))
+        tags.update(htmltext.label_counts(page))
+    by = htmltext.weights(tags, names, {k: 50 for k, _ in names})
+    assert by[".tracks"] < -1 < 0 < by[".notice"] and "." not in by
+    text = htmltext.main_text(f"<body><div><p>{LONG}</p><div class=notice>keep this</div><div class=tracks>not this</div><p>{LONG}</p></div></body>", by)
+    assert text == f"{LONG.strip()}\nkeep this\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<a x='", '<a x="', "<![CDATA[x ", "<b>x</i>", "<b>", "<p><b>", "<!-- x", "<", "</", "<a ", "<a x='>'", "<iframe>", "<b><div></div>", "<svg><p>", "<li><b>", "<p class='ad x'>y", "<td><div>", "</script ", "<a ='><b =\">", "<ul><li>x"],
+)
+@pytest.mark.parametrize("end", ["", ">", "'>", "\">'", "]]>", "-->"])
+def test_hostile_pages_cost_in_proportion(part, end):
+    import time
+
+    took = []
+    for n in (40_000, 160_000):
+        page = part * (n // len(part)) + end
+        began = time.perf_counter()
+        htmltext.main_text(page, htmltext.DEFAULT)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2 and took[1] < 6
+
+
+def _random_page(rng):
+    """A tree of ``(name, children)`` and strings."""
+
+    def some(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            if depth > 3 or rng.random() < 0.4:
+                out.append(" " + " ".join(rng.choice(["w", "xy", "z"]) for _ in range(rng.randint(1, 9))) + " ")
+            else:
+                name = rng.choice(["div", "div", "section", "span", "nav", "footer", "h1"])
+                out.append((name, some(depth + 1) if name != "h1" else [" head line "]))
+        return out
+
+    return ("body", some(0))
+
+
+def _plain_text(tree, by):
+    """All regions are tried; elements, text and bounds by recursion over the tree."""
+    told, spans = [], []
+
+    def walk(node, out, path):
+        name, children = node
+        out = out or name in htmltext.LEFT_OUT
+        told.append((name, "", path, out))
+        begin, me = len(told), (*path, len(spans))
+        spans.append([name, begin, None, me])
+        for c in children:
+            if isinstance(c, str):
+                told.append(("", c, me, out))
+            else:
+                walk(c, out, me)
+        spans[me[-1]][2] = len(told)
+        told.append((name, "", path, out))
+
+    walk(tree, False, ())
+    words = [0 if n or out else len(t.split()) for n, t, _, out in told]
+    scores = [by.get(n, htmltext.UNKNOWN) if n else by[""] * w for (n, _, _, _), w in zip(told, words)]
+    best, first, last = 0.0, 0, 0
+    for b in range(1, len(scores) + 1):
+        for a in range(b):
+            total = 0.0
+            for x in scores[a:b]:
+                total += x
+            if total > best + 1e-9 or abs(total - best) <= 1e-9 and b == last and a > first:
+                best, first, last = total, a, b
+    if first == last:
+        return ""
+    inside = sum(words[first:last])
+    held = [p for (n, _, p, _), w in zip(told[first:last], words[first:last]) if w]
+    common = held[0]
+    for p in held:
+        common = common[: next((k for k, (x, y) in enumerate(zip(common, p)) if x != y), min(len(common), len(p)))]
+    for k in reversed(common):
+        name, s, e, _ = spans[k]
+        if name in htmltext.BLOCK:
+            if name == "body" or inside < 0.8 * sum(words[s:e]):
+                break
+            first, last = min(first, s), max(last, e)
+    while first and told[first - 1][0] not in htmltext.BLOCK:
+        first -= 1
+    while last < len(told) and told[last][0] not in htmltext.BLOCK:
+        last += 1
+    joined = "".join("\n" if n in htmltext.BLOCK else "" if n or out else t for n, t, _, out in told[first:last])
+    return "\n".join(" ".join(x.split()) for x in joined.split("\n") if x.strip())
+
+
+def test_against_all_regions():
+    rng = random.Random(11)
+    by = htmltext.DEFAULT | {"nav": -1.5, "footer": -2.0, "div": -0.75, "span": -0.25, "h1": -0.25, "section": -1.25, "": 0.5}
+    show = lambda n: n if isinstance(n, str) else f"<{n[0]}>{''.join(map(show, n[1]))}</{n[0]}>"
+    texts = []
+    for _ in range(400):
+        tree = _random_page(rng)
+        texts.append(htmltext.main_text(show(tree), by))
+        assert texts[-1] == _plain_text(tree, by), show(tree)
+    assert len(set(texts)) > 300
+
+
 def test_many_unclosed_frames():
     assert htmltext.main_text("<iframe></iframe><article>" + "<p>a b c<iframe>" * 20_000, htmltext.DEFAULT).count("\n") == 19_999
 
@@ -81,8 +210,6 @@ def test_short_blocks_in_the_body_stay(page, text):
 
 
 def test_region_is_the_best_run():
-    import random
-
     rng = random.Random(3)
     for _ in range(300):
         scores = [rng.randint(-5, 5) for _ in range(rng.randint(0, 12))]
