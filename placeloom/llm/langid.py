@@ -281,10 +281,10 @@ class Scorer:
             at = np.flatnonzero(counts[a : a + step]) + a
             if len(at):
                 logs = self._logs(grams(codes[low : a + step], self.order), at - low)
-                doc = np.searchsorted(offsets, at, "right") - 1
-                turn = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                sums[doc[turn]] += np.add.reduceat(logs, turn, axis=0, dtype=np.float64)
-                n[doc[turn]] += np.diff(np.r_[turn, len(at)])
+                edges = np.searchsorted(at, offsets)
+                doc = np.flatnonzero(np.diff(edges) > 0)
+                sums[doc] += np.add.reduceat(logs, edges[doc], axis=0, dtype=np.float64)
+                n[doc] += np.diff(edges)[doc]
         n = np.maximum(n, 1)
         return -sums / n[:, None], n
 
