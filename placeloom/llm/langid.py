@@ -51,7 +51,7 @@ SHARPNESS = 20.0
 
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 #: Log-probabilities that a worker's table holds, and that are looked up at once.
-_TABLE, _PIECE = 1 << 21, 1 << 18
+_TABLE, _PIECE = 1 << 22, 1 << 19
 _LETTERS: list[np.ndarray] = []
 
 
