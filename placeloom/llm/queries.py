@@ -68,7 +68,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = "tag:placeloom.invalid,2025:page/"
     read = warc.archive(_read(spark, sf_dir, "pages"), prefix)
-    page = lambda c: F.substring_index(c, "/", -1).cast("long")
+    page = lambda c: F.substring_index(c, "/", -1).try_cast("long")  # noqa: E731  a null id is written as none
     return read.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
@@ -94,7 +94,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,15 @@ Writing: each task writes one file, a gzip member per record, under a temporary
 renames the files of successful tasks, so a lost task's file is never read. A member's header holds
 the member's compressed length (the ``sl`` extra field), so a reader can step over it.
 
-Reading: files are planned as partitions of about ``split`` bytes; a large file is cut where a
-member begins. Filters on the record type and other header columns are pushed down: only the head
+Reading: files are planned as partitions of about ``split`` bytes by their sizes alone, no file is
+opened for it; a task begins where the first member in its range begins. Filters on the record type and other header columns are pushed down: only the head
 of a member is inflated for its headers, and an unwanted record's payload is stepped over, neither
-inflated nor decoded. Archives of other writers are read too, a file to a partition where members
-lack the field or aren't compressed.
+inflated nor decoded. Archives of other writers are read too: where members lack the field or aren't
+compressed, the task of a file's first range reads all of it.
 
 Option ``payload`` (true): with false no payload is decoded and ``payload`` is null. Option
 ``verify`` (false): with true each decoded payload of a response must have the digest in its header.
+Option ``slices`` (0): the number of partitions to aim at, where ``split`` would give fewer.
 
 Files are opened with pyarrow's file systems, so the folder may be in any store that pyarrow reads.
 """
@@ -62,7 +63,7 @@ HEADERS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MEMBER = b"\x1f\x8b\x08\x04"
 _HEAD = struct.Struct("<4sIBBH2sHII")  # magic and flags, time, extra flags, system, extra length, "sl", 8, compressed, plain
-_SPLIT = 64 << 20
+_SPLIT, _LEAST_SPLIT = 64 << 20, 1 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -159,7 +160,7 @@ class WarcReader(DataSourceReader):
         self.path, self.names = options["path"], schema.names
         self.payload = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
-        self.split = int(options.get("split", _SPLIT))
+        self.split, self.slices = int(options.get("split", _SPLIT)), int(options.get("slices", 0))
         self.equal: list[tuple[str, frozenset]] = []
         self.prefix: list[tuple[str, str]] = []
 
@@ -183,15 +184,14 @@ class WarcReader(DataSourceReader):
         store, base = _opened(self.path)
         info = store.get_file_info(base)
         files = [info] if info.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(base))
+        files = sorted((f for f in files if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
+        split = min(self.split, max(_LEAST_SPLIT, sum(f.size for f in files) // self.slices)) if self.slices else self.split
         pieces: list[InputPartition] = []
         room, held = 0, []
-        for f in sorted((f for f in files if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
-            with store.open_input_file(f.path) as src:
-                cut = src.read(len(_MEMBER)) == _MEMBER and src.read(12)[8:10] == b"sl"
-            step = self.split if cut else max(1, f.size)
-            for start in range(0, f.size, step):
-                end = min(f.size, start + step)
-                if held and room + end - start > self.split:
+        for f in files:
+            for start in range(0, f.size, split):
+                end = min(f.size, start + split)
+                if held and room + end - start > split:
                     pieces.append(Piece(held))
                     room, held = 0, []
                 held.append((f.path, start, end))
@@ -220,18 +220,12 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in self.names], self.names)
 
     def _records(self, src: pa.NativeFile, start: int, end: int) -> Iterator[dict]:
-        src.seek(start)
-        first = src.read(4)
-        if first[:2] == b"\x1f\x8b":
-            src.seek(start + 4)
-            quick = first == _MEMBER and src.read(12)[8:10] == b"sl"
-        else:
-            quick = start > 0
-        if quick:
+        first = src.read(16)
+        if first.startswith(_MEMBER) and first[12:14] == b"sl":
             yield from self._members(src, start, end)
-        else:
+        elif start == 0:
             src.seek(0)
-            yield from self._stream(src, first[:2] == b"\x1f\x8b")
+            yield from self._stream(src, first.startswith(b"\x1f\x8b"))
 
     def _members(self, src: pa.NativeFile, start: int, end: int) -> Iterator[dict]:
         total = src.size()
@@ -402,9 +396,12 @@ def records(pages: DataFrame, prefix: str, least_bytes: int = 0, id_col: str = "
 
 
 def archive(pages: DataFrame, prefix: str, least_bytes: int = 0) -> DataFrame:
-    """Write the pages to archives in the shared folder and read them back with checked digests."""
+    """Write the pages to archives in the shared folder and read them back: responses with checked digests, revisits by their headers alone."""
     spark = pages.sparkSession
     register(spark)
     path = scratch_path(spark, "warc")
     records(pages, prefix, least_bytes).write.format("warc").mode("append").save(path)
-    return spark.read.format("warc").option("verify", "true").load(path)
+    read = spark.read.format("warc").option("slices", spark.sparkContext.defaultParallelism)
+    whole = read.option("verify", "true").load(path).where("record_type = 'response'")
+    headers = read.option("payload", "false").load(path).where("record_type = 'revisit'")
+    return whole.unionByName(headers)
