@@ -66,9 +66,12 @@ def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
     freq = np.arange(power.shape[1]) * rate / size
     used = np.flatnonzero((freq >= LOWEST) & (freq <= HIGHEST))
-    to = np.zeros((len(used), 12))
-    to[np.arange(len(used)), np.round(12 * np.log2(freq[used] / 440)).astype(int) % 12] = 1
-    out = np.sqrt(power[:, used] @ to)
+    pitch = np.round(12 * np.log2(freq[used] / 440)).astype(int) % 12
+    used = used[np.argsort(pitch, kind="stable")]
+    there, at = np.unique(np.sort(pitch), return_index=True)
+    out = np.zeros((len(power), 12))
+    if len(there):  # sums by pitch class, without a matrix product and its threads
+        out[:, there] = np.sqrt(np.add.reduceat(power[:, used], at, axis=1))
     norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
     return np.where(norm > 1e-3 * size, out / np.maximum(norm, 1e-9), 0.0)
 
