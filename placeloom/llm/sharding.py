@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import small, stored
 
 BUNDLES = 16_384
-#: Parts of a shard whose rows are numbered apart.
-NUMBERED = 2048
+#: Parts of a shard whose rows are numbered apart, and the rows of a part beyond which its rows are dealt out again.
+NUMBERED, CROWDED = 2048, 1_000_000
 
 
 def schedule(sizes: list[int], shards: int) -> list[int]:
@@ -55,12 +55,20 @@ def shard(docs: DataFrame, shards: int = 8, bundles: int = BUNDLES, id_col: str
     return numbered(placed, id_col)
 
 
-def numbered(placed: DataFrame, id_col: str) -> DataFrame:
-    """``slot``: gapless numbers from 0 in each shard. Parts of a shard are numbered apart, and begin where the parts before them end."""
-    placed = stored(placed.withColumn("part", F.pmod(F.xxhash64(F.col(id_col), F.col("key")), F.lit(NUMBERED)).cast("int")), "placed")
-    counts = placed.groupBy("shard", "part").count()
-    upto = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(counts.select("shard", "part", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("base")), "bases")
-    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.col(id_col), "key"))
-    out = placed.withColumn("nth", nth).join(small(counts), ["shard", "part"])
+def numbered(placed: DataFrame, id_col: str, crowded: int = CROWDED) -> DataFrame:
+    """``slot``: gapless numbers from 0 in each shard. Parts of a shard are numbered apart, and begin where the parts before them end.
+
+    Rows that are equal in id and text share a part; a part of more than ``crowded`` rows is dealt out by where its rows
+    lie, so none has to be numbered in one task.
+    """
+    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.col(id_col), F.col("key")), F.lit(NUMBERED)).cast("int"))
+    placed = stored(placed.withColumn("lies", F.monotonically_increasing_id()), "placed")
+    cuts = placed.groupBy("shard", "part").agg(F.ceil(F.count("*") / crowded).cast("int").alias("cuts")).where("cuts > 1")
+    cuts = small(stored(cuts, "crowded"))
+    dealt = placed.join(cuts, ["shard", "part"], "left").withColumn("cut", F.coalesce(F.pmod(F.col("lies"), F.col("cuts")), F.lit(0))).drop("cuts", "lies")
+    counts = dealt.groupBy("shard", "part", "cut").count()
+    upto = Window.partitionBy("shard").orderBy("part", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored(counts.select("shard", "part", "cut", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("base")), "bases")
+    nth = F.row_number().over(Window.partitionBy("shard", "part", "cut").orderBy(F.col(id_col), "key"))
+    out = dealt.withColumn("nth", nth).join(small(counts), ["shard", "part", "cut"])
     return out.select(id_col, "size", "text_crc32", "shard", (F.col("base") + F.col("nth") - 1).cast("long").alias("slot"))
