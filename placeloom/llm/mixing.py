@@ -8,9 +8,10 @@ superset of what a smaller one takes.
 
 A budget beyond a source's size takes every row whole times first. The row on the boundary is taken
 if that comes nearer to the target. Null text has size 0 and takes nothing; null sources are one
-source, the last; rows repeated with id and text share a hash and a decision. Extra columns are
-ignored by ``plan_mix`` and kept by ``mix``. An empty table gives an empty result. Weights follow the sources' order
-and are parameters; sources are assumed to be far fewer than rows (one row each is kept per bucket).
+source, the last; rows repeated with id and text share a hash and a decision. A very long text is a
+row like any other. Extra columns are ignored by ``plan_mix`` and kept by ``mix``. An empty table
+gives an empty result. Weights follow the sources' order and are parameters. Sources may be many:
+their ranks and sums are made in parts, and they are broadcast only where they are counted as few.
 """
 
 from __future__ import annotations
@@ -34,11 +35,21 @@ def row_hash(id_col: str, text: str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def ranked(rows: DataFrame, by: str) -> DataFrame:
+    """``rank``: the place of each row from 0, nulls last. Ranges of the order are numbered apart, so no task has all rows."""
+    ranges = stored(rows.orderBy(F.col(by).asc_nulls_last()).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("range").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    counts = stored(counts.select("range", before.alias("base")), "ranges-before")
+    nth = F.row_number().over(Window.partitionBy("range").orderBy(F.col(by).asc_nulls_last()))
+    return ranges.withColumn("nth", nth).join(small(counts), "range").withColumn("rank", F.col("base") + F.col("nth") - 1).drop("range", "base", "nth")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], most_repeats: int) -> DataFrame:
     """``source, source_size`` with ``target``: weighted shares of all sizes, each at most ``most_repeats`` times its source's size."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    cycle = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    sources = stored(sources.withColumn("weight", cycle.cast("long")), "weights")
+    sources = ranked(sources, "source")
+    cycle = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    sources = stored(sources.withColumn("weight", cycle.cast("long")).drop("rank"), "weights")
     total, weight = sources.agg(F.sum("source_size"), F.sum("weight")).first()
     if not total:
         return sources.withColumn("target", F.lit(0.0))
