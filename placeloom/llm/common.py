@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -20,14 +23,36 @@ BROADCAST_ROWS = 50_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; without one there is nowhere to write."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (as in tests) gets a folder of its own; on a cluster there is nowhere to write.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="placeloom-")
+        _OWN[context.applicationId] = path
     return path.rstrip("/")
 
 
+def clear_scratch(spark: SparkSession, hours: float, folder: str | None = None) -> int:
+    """Remove what operators left in the shared folder (or another) more than ``hours`` ago; the number of folders. Results that still read them are lost."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder or shared_dir(spark))
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    before, gone = (time.time() - 3600 * hours) * 1000, 0
+    for f in store.listStatus(top) if store.exists(top) else []:
+        if f.getPath().getName().startswith("placeloom-") and f.getModificationTime() < before:
+            gone += bool(store.delete(f.getPath(), True))
+    return gone
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/placeloom-{name}-{uuid.uuid4().hex}"
 

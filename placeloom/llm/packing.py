@@ -4,7 +4,7 @@ A document's ids are cut into pieces whose lengths are powers of two: as many of
 then the binary digits of the rest. Pieces of equal length share a bucket; each is a sequence of its
 own, so a batch from one bucket needs no padding and no sequence holds two documents.
 
-Null text counts as empty: its one id is the end mark. Each repeated row is packed. Null ids stay
+A very long text is packed whole; memory follows its length. Null text counts as empty: its one id is the end mark. Each repeated row is packed. Null ids stay
 null. Extra columns are ignored; an empty table gives an empty result. Rows should come from files
 (or a stored table), as sequence numbers follow the partitions: they are unique, not gapless.
 """
@@ -66,3 +66,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
 
     out = rows.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, doc_tokens long, bucket int, ids binary")
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write pieces by their length, a folder to a bucket: batches of one folder need no padding."""
+    packed.write.partitionBy("bucket").parquet(path)
