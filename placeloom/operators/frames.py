@@ -73,7 +73,7 @@ def aggregated(frames: DataFrame, group: list[str], frame: str, attributes: list
 def distinct_frames(frames: DataFrame, video: str, index: str, content: str, most: int | None = None) -> DataFrame:
     """Frames of a video whose content wasn't seen before (by MD5), in order, ``most`` at most; ``digest`` and the original index stay."""
     marked = frames.withColumn("digest", F.md5(content))
-    first = marked.withColumn("__nth__", F.row_number().over(Window.partitionBy(video, "digest").orderBy(index))).where("__nth__ = 1").drop("__nth__")
+    first = _first(marked, [video, "digest"], index, "digest")
     if most is None:
         return first
     rank = F.row_number().over(Window.partitionBy(video).orderBy(index))

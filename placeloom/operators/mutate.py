@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_space
@@ -17,9 +17,13 @@ def with_defaults(rows: DataFrame, table: str) -> DataFrame:
     return rows
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Of each key the first row by the order."""
-    return rows.withColumn("__nth__", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth__ = 1").drop("__nth__")
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each key the row that is last by the order; nulls come first. No window: a hot key is reduced before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    whole = F.max_by(F.struct(*rest), F.struct(*order)).alias("__row__")
+    return rows.groupBy(*keys).agg(whole).select(*keys, "__row__.*").select(*rows.columns)
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,8 +32,8 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     return target.unionByName(fresh.select(*target.columns))
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """Rows replace those of the same key or are added; of several with one key the first by ``order`` counts."""
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows replace those of the same key or are added; of several with one key the last by ``order`` counts."""
     rows = latest(rows, keys, order) if order else rows.dropDuplicates(keys)
     return target.join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
 
@@ -81,26 +85,40 @@ def delete(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(gone.select(*keys), keys, "left_anti").select(*target.columns)
 
 
+def _parents_first() -> list[str]:
+    """Tables in an order in which what cascades to a table comes before it."""
+    left = {(p, c) for c, _, p, action in REFERENCES if action == "cascade"}
+    names, out = sorted({x for edge in left for x in edge}), []
+    while names:
+        free = [n for n in names if all(c != n for _, c in left)]
+        if not free:
+            raise ValueError(f"references cascade in a circle: {names}")
+        out += free
+        names, left = [n for n in names if n not in free], {(p, c) for p, c in left if p not in free}
+    return out
+
+
 def delete_cascading(tables: dict[str, DataFrame], table: str, gone: DataFrame, key: str = "id") -> dict[str, DataFrame]:
-    """All tables without the rows ``gone`` of one: children go too, or lose their reference."""
+    """All tables without the rows ``gone`` of one: children go too, or lose their reference.
+
+    A table that is reached on several ways loses what goes on any of them. The table itself may be missing (users are
+    kept elsewhere); so may children and their columns.
+    """
+    lost = {table: gone.select(F.col(key).alias("__gone__")).distinct()}
+    there = [(child, column, parent, action) for child, column, parent, action in REFERENCES if child in tables and column in tables[child].columns]
+    for name in _parents_first():
+        hits = [tables[name].join(lost[parent], F.col(column) == F.col("__gone__"), "left_semi").select(F.col("id").alias("__gone__")) for child, column, parent, action in there if child == name and action == "cascade" and parent in lost]
+        if hits:
+            ids = lost.get(name)
+            for hit in hits:
+                ids = hit if ids is None else ids.unionByName(hit)
+            lost[name] = ids.distinct()  # type: ignore[union-attr]
     out = dict(tables)
-    todo = [(table, gone.select(F.col(key).alias("__gone__")).distinct())]
-    done: set[str] = set()
-    while todo:
-        name, ids = todo.pop(0)
-        if name in done:
-            continue
-        done.add(name)
-        for child, column, parent, action in REFERENCES:
-            if parent != name or child not in out:
-                continue
-            hit = out[child].join(ids, F.col(column) == F.col("__gone__"), "left_semi")
-            if action == "cascade":
-                if child not in done:
-                    todo.append((child, hit.select(F.col("id").alias("__gone__")).distinct()))
-            else:
-                out[child] = set_null(out[child], ids, column)
-        out[name] = out[name].join(ids, F.col(key) == F.col("__gone__"), "left_anti")
+    for name in lost.keys() & tables.keys():
+        out[name] = tables[name].join(lost[name], F.col(key if name == table else "id") == F.col("__gone__"), "left_anti")
+    for child, column, parent, action in there:
+        if action == "set null" and parent in lost:
+            out[child] = set_null(out[child], lost[parent], column)
     return out
 
 

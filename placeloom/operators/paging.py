@@ -51,7 +51,7 @@ def paged(df: DataFrame, order: list[Column], page: Page) -> DataFrame:
 
 
 def with_total(df: DataFrame, name: str = "total_items") -> DataFrame:
-    """The filtered rows with their number, counted in one pass beside them."""
+    """The filtered rows with their number. The count is an aggregate of its own, so the rows are read twice."""
     return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # one row
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_text, is_blank, like_any_case, text_key
@@ -99,8 +99,9 @@ def owned_lists(lists: DataFrame, user_id: object, owner: str = "user_id", creat
 def distinct_places(extracted: DataFrame, group: list[str], order: list[str], name: str = "name", city: str = "city") -> DataFrame:
     """The first of extracted places with the same name and city (trimmed, in any case) in each group; places without a name go."""
     named = extracted.where(F.coalesce(F.col(name) != "", F.lit(False)))
-    first = Window.partitionBy(*group, text_key(name), text_key(F.coalesce(F.col(city), F.lit("")))).orderBy(*order)
-    return named.withColumn("__nth__", F.row_number().over(first)).where("__nth__ = 1").drop("__nth__")
+    keyed = named.withColumn("__name__", text_key(name)).withColumn("__city__", text_key(F.coalesce(F.col(city), F.lit(""))))
+    first = F.min_by(F.struct(*extracted.columns), F.struct(*order)).alias("__row__")
+    return keyed.groupBy(*group, "__name__", "__city__").agg(first).select("__row__.*")
 
 
 def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str], any_case: bool = True) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.media import frame_budget
+from .mutate import latest
 
 #: Columns that a place lends to its post.
 PLACE_COLUMNS = {"name": "place_name", "city": "place_city", "neighborhood": "place_neighborhood", "category": "place_category", "latitude": "latitude", "longitude": "longitude", "address": "place_address"}
@@ -19,8 +20,8 @@ def enriched(posts: DataFrame, places: DataFrame, place_id: str = "place_id", ke
 
 def pick_post(posts: DataFrame, group: list[str], status: str = "status", created: str = "created_at", key: str = "id", done: str = "completed") -> DataFrame:
     """Of each group's posts the newest that is done, else the newest."""
-    order = Window.partitionBy(*group).orderBy((~F.col(status).eqNullSafe(done)).cast("int"), F.col(created).desc_nulls_last(), F.col(key).desc())
-    return posts.withColumn("__nth__", F.row_number().over(order)).where("__nth__ = 1").drop("__nth__")
+    done_last = posts.withColumn("__done__", F.col(status).eqNullSafe(done))
+    return latest(done_last, group, ["__done__", created, key]).drop("__done__")
 
 
 def places_of_posts(posts: DataFrame, places: DataFrame, post_key: str = "id", place_id: str = "place_id", url: str = "post_url", place_key: str = "id", source_url: str = "source_url") -> DataFrame:

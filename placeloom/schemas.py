@@ -86,6 +86,14 @@ REFERENCES: list[tuple[str, str, str, str]] = [
     ("list_places", "place_id", "places", "cascade"),
     ("list_collaborators", "list_id", "lists", "cascade"),
     ("guide_places", "guide_id", "guides", "cascade"),
+    ("profiles", "id", "users", "cascade"),
+    ("places", "user_id", "users", "set null"),
+    ("social_posts", "user_id", "users", "set null"),
+    ("saved_places", "user_id", "users", "cascade"),
+    ("lists", "user_id", "users", "cascade"),
+    ("list_collaborators", "user_id", "users", "cascade"),
+    ("follows", "follower_id", "users", "cascade"),
+    ("follows", "following_id", "users", "cascade"),
 ]
 
 TAGGED_USER = "struct<full_name:string,id:string,is_verified:boolean,profile_pic_url:string,username:string>"

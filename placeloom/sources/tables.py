@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -75,3 +79,13 @@ def server_events(changes: DataFrame) -> DataFrame:
 def to_folder(stream: DataFrame, path: str, checkpoint: str, trigger: str = "2 seconds") -> DataStreamWriter:
     """An append stream to Parquet files; each micro-batch is written once."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=trigger)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share (``spark.checkpoint.dir``); a local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="placeloom-")
+    return f"{shared.rstrip('/')}/placeloom-{name}-{uuid.uuid4().hex}"

@@ -48,18 +48,26 @@ def once_per_run(events: DataFrame, run: str = "run_id", at: str = "event_time",
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([run, "status"])
 
 
-def status_changes(events: DataFrame, give_up: str | None = "10 minutes") -> DataFrame:
+def status_changes(events: DataFrame, give_up: str | None = "10 minutes", remember: str = "1 day") -> DataFrame:
     """A stream ``post_id, status, previous, error_message, event_time``: a row when a post moves on; repeats and steps back give none.
 
-    Rows of a micro-batch are taken in time order. A post that doesn't move for ``give_up`` (processing time) fails.
+    Rows of a micro-batch are taken in time order. A post that doesn't move for ``give_up`` (processing time) fails. That
+    a post is over is remembered for ``remember`` after its last event and then forgotten, so the state doesn't grow for
+    ever; until then nothing makes the post begin again. Time-outs keep a stream running batches; without ``give_up``
+    there are none, so a stream over a closed set of files ends, and its state lasts as long as it does.
     """
     ranks = {s: k for k, s in enumerate(STAGES)} | {"failed": FAILED}
-    wait = int(pd.Timedelta(give_up).total_seconds() * 1000) if give_up else None
+    millis = lambda x: int(pd.Timedelta(x).total_seconds() * 1000)
+    wait, keep = millis(give_up) if give_up else None, millis(remember)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         if state.hasTimedOut:
-            state.remove()
+            if last in ("completed", "failed"):
+                state.remove()
+                return
+            state.update(("failed",))
+            state.setTimeoutDuration(keep)
             yield pd.DataFrame({"post_id": [key[0]], "status": ["failed"], "previous": [last], "error_message": ["timed out"], "event_time": [pd.Timestamp.now("UTC").tz_localize(None)]})
             return
         rows = pd.concat([b for b in batches if len(b)]).sort_values(["event_time", "status"], kind="stable")
@@ -70,12 +78,14 @@ def status_changes(events: DataFrame, give_up: str | None = "10 minutes") -> Dat
                 out.append((key[0], status, last, error, at))
                 last = status
         state.update((last,))
-        if wait and last not in ("completed", "failed"):
-            state.setTimeoutDuration(wait)
+        if wait:
+            state.setTimeoutDuration(keep if last in ("completed", "failed") else wait)
         yield pd.DataFrame(out, columns=["post_id", "status", "previous", "error_message", "event_time"])
 
+    key_type = dict(events.dtypes)["post_id"]
+    schema = f"post_id {key_type}, status string, previous string, error_message string, event_time timestamp"
     timeout = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
-    return events.groupBy("post_id").applyInPandasWithState(step, "post_id string, status string, previous string, error_message string, event_time timestamp", "last string", "append", timeout)
+    return events.groupBy("post_id").applyInPandasWithState(step, schema, "last string", "append", timeout)
 
 
 def cached_answers(asked: DataFrame, completed: DataFrame, key: str) -> DataFrame:

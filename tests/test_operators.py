@@ -193,6 +193,29 @@ def test_cascade(spark):
     assert rows(left["social_posts"], "id") == [("s1", "p1"), ("s2", None)]
 
 
+def test_user_goes_by_every_way(spark):
+    """Collaborators go with their user and with the lists of their user; a place keeps its row."""
+    t = {
+        "profiles": spark.createDataFrame([(1,), (2,)], "id long"),
+        "lists": spark.createDataFrame([(10, 1), (11, 2)], "id long, user_id long"),
+        "list_collaborators": spark.createDataFrame([(20, 10, 2), (21, 11, 1), (22, 11, 2), (23, 11, 3)], "id long, list_id long, user_id long"),
+        "list_places": spark.createDataFrame([(30, 10, 5), (31, 11, 5)], "id long, list_id long, place_id long"),
+        "follows": spark.createDataFrame([(40, 1, 2), (41, 2, 1), (42, 2, 3)], "id long, follower_id long, following_id long"),
+        "places": spark.createDataFrame([(5, 1), (6, 2)], "id long, user_id long"),
+    }
+    left = mutate.delete_cascading(t, "users", spark.createDataFrame([(1,)], "id long"))
+    assert {k: [r["id"] for r in v.orderBy("id").collect()] for k, v in left.items()} == {"profiles": [2], "lists": [11], "list_collaborators": [22, 23], "list_places": [31], "follows": [42], "places": [5, 6]}
+    assert rows(left["places"], "id") == [(5, None), (6, 2)]
+    assert rows(t["places"], "id") == [(5, 1), (6, 2)]
+
+
+def test_latest_of_a_hot_key(spark):
+    many = spark.range(10_000).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 10_007).alias("t"), F.col("id"))
+    got = mutate.latest(many, ["k"], ["t", "id"])
+    assert got.columns == many.columns and got.first()["t"] == many.agg(F.max("t")).first()[0]
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
 def test_schemas(spark):
     bad = spark.createDataFrame([(None, "u", 1), ("x", "u", 1)], "id string, user_id string, place_id long")
     found = {k: v.count() for k, v in mutate.violations("saved_places", bad).items()}

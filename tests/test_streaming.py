@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ def _event(post, state, minute, run="r"):
     return {"post_id": post, "status": state, "error_message": None, "run_id": run, "dataset_id": "d", "event_time": f"2024-01-01T00:{minute:02d}:00Z"}
 
 
+def _until(done, seconds=60):
+    end = time.time() + seconds
+    while not done() and time.time() < end:
+        time.sleep(0.3)
+    return done()
+
+
 def test_status_in_batch(spark):
     rows = [("a", "pending", 1), ("a", "scraped", 2), ("a", "scraped", 3), ("a", "scraping", 4), ("b", "failed", 1), ("b", "odd", 2)]
     e = spark.createDataFrame(rows, "post_id string, status string, t int")
@@ -51,6 +59,19 @@ def test_status_stream_equals_the_batch(spark, tmp_path, mixed):
     assert any(m.startswith("event: complete\ndata: {") and m.endswith("\n\n") for m in messages)
 
 
+def test_a_post_that_timed_out_does_not_begin_again(spark, tmp_path):
+    _write(tmp_path / "in", "one.json", [_event("a", "pending", 1), _event("a", "scraping", 2), _event("b", "completed", 1)])
+    changes = status.status_changes(sources.status_events(spark, str(tmp_path / "in"), 1), give_up="1 second", remember="1 hour")
+    q = changes.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    shown = lambda n: _until(lambda: spark.table("timed").count() >= n)
+    assert shown(4)  # the time-out is one of them
+    _write(tmp_path / "in", "two.json", [_event("a", "pending", 3), _event("a", "scraped", 4), _event("b", "pending", 5), _event("c", "failed", 6)])
+    assert shown(5)
+    q.stop()
+    got = [(r["post_id"], r["status"]) for r in spark.table("timed").collect()]
+    assert sorted(got) == [("a", "failed"), ("a", "pending"), ("a", "scraping"), ("b", "completed"), ("c", "failed")]
+
+
 def test_repeated_runs_count_once(spark, tmp_path):
     _write(tmp_path / "in", "one.json", [_event("a", "SUCCEEDED", 1, "r1"), _event("a", "SUCCEEDED", 2, "r1"), _event("b", "SUCCEEDED", 2, "r2")])
     _write(tmp_path / "in", "two.json", [_event("a", "SUCCEEDED", 3, "r1")])
