@@ -21,7 +21,7 @@ _LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
 #: First bytes of characters that are surely no white space: visible ASCII, and two-byte characters from U+00C0.
 _RIGHT = np.zeros(256, bool)
 _RIGHT[0x21:0x7F] = _RIGHT[0xC3:0xE0] = True
-_SLOTS = 1 << 20
+_SLOTS = 1 << 22
 #: Pieces that go through the tokenizer at once.
 _AT_ONCE = 4096
 
@@ -49,7 +49,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
 class CachedTokenizer:
     """One per worker process; the cache is emptied when it holds ``most`` pieces or ``4 * most`` ids."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
