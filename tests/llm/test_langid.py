@@ -15,10 +15,14 @@ from placeloom.llm.queries import QUERIES
 from .test_quality import plain
 
 
-def plain_kneser_ney(text: str, order: int):
-    """A dictionary version: P(last character | those before)."""
+def plain_grams(text: str, order: int) -> list[str]:
     padded = " " * (order - 1) + text.lower()
-    top = Counter(padded[i - order + 1 : i + 1] for i in range(order - 1, len(padded)) if not (padded[i] == " " and padded[i - 1] == " "))
+    return [padded[i - order + 1 : i + 1] for i in range(order - 1, len(padded)) if not (padded[i] == " " and padded[i - 1] == " ")]
+
+
+def plain_kneser_ney(text: str | list[str], order: int):
+    """A dictionary version: P(last character | those before)."""
+    top = Counter(g for t in ([text] if isinstance(text, str) else text) for g in plain_grams(t, order))
     counts = {order: top}
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
@@ -105,3 +109,76 @@ def test_copies_do_not_swell_the_sample(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the very same text in every row").alias("text"), F.lit("en").alias("lang"))
     models = langid.train(rows, docs_per_lang=50)
     assert [m.lang for m in models] == ["en"]
+
+
+def _tongue(rng, letters: str, n: int) -> list[str]:
+    words = ["".join(rng.choice(list(letters), rng.integers(2, 6))) for _ in range(40)]
+    return [" ".join(rng.choice(words, rng.integers(3, 30))) for _ in range(n)]
+
+
+def test_query_against_plain_models(spark, tmp_path):
+    """Predictions and scores of a whole table, from dictionaries of the texts that may be learned from."""
+    rng = np.random.default_rng(8)
+    rows = [(None, "abc", "aa", "s", 1), (5000, None, "aa", "s", 1), (5001, "12 34", "bb", "s", 1)]
+    for k, (lang, letters) in enumerate([("aa", "abcdefg"), ("bb", "defghij"), ("cc", "ghijkab"), ("dd", "xyzabé")]):
+        rows += [(1000 * k + i, t, lang, "s", 1) for i, t in enumerate(_tongue(rng, letters, 60))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda t: zlib.crc32(t.encode())
+    taught: dict = defaultdict(set)
+    for i, t, lang, *_ in rows:
+        if t is not None and crc("" if i is None else str(i)) % 5:
+            taught[lang].add(t)
+    models = {}
+    for lang, texts in sorted(taught.items()):
+        ordered = sorted(texts, key=crc)
+        models[lang] = plain_kneser_ney([t for k, t in enumerate(ordered) if k % 5], langid.ORDER)
+    memo: dict = {}
+
+    def entropy(lang: str, text: str) -> float:
+        found = plain_grams(text, langid.ORDER)
+        for g in found:
+            if (lang, g) not in memo:
+                memo[lang, g] = -np.log(models[lang](g))
+        return sum(memo[lang, g] for g in found) / max(1, len(found))
+
+    got = QUERIES["op2_language_id"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, *_ in rows}
+    for r in got:
+        t = texts[r["doc_id"]]
+        if t is None or not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        e = {lang: entropy(lang, t) for lang in models}
+        best = min(e, key=lambda x: (e[x], x))
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(np.exp((e[best] - v) * langid.SHARPNESS) for v in e.values()), abs=1e-3)
+
+
+def test_many_labels_stay_small(spark):
+    """With 200 labels the models hold no more than their share, and still tell languages apart."""
+    rng = np.random.default_rng(9)
+    letters = [chr(0x4E00 + k) for k in range(2000)]
+    rows = [(f"l{k:03d}", t) for k in range(200) for t in _tongue(rng, "".join(letters[10 * k : 10 * k + 10]), 12)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    models = langid.train(docs, grams=100_000)
+    held = [sum(len(h) for h, _ in [*m.grams, *m.contexts]) for m in models]
+    assert len(models) == 200 and max(held) < 4 * 2_000
+    assert [m.lang for m in langid.train(docs.where("lang < 'l005'"), langs=3)] == ["l000", "l001", "l002"]
+    scorer = langid.Scorer(models)
+    assert scorer.logs.nbytes + scorer.keys.nbytes < 40 << 20
+    names, _, _ = scorer([t for _, t in rows])
+    assert np.mean([n == lang for n, (lang, _) in zip(names, rows)]) > 0.95
+
+
+def test_a_very_long_text_is_scored_whole(models):
+    """In pieces, with the sums of the whole."""
+    parts = ["the quick brown fox and the lazy dog ", "und der schnelle braune Fuchs "]
+    text = (parts[0] * 3 + parts[1]) * 5000
+    scorer = langid.Scorer(models)
+    codes = langid.symbols([text, parts[1]])
+    whole, n = scorer.entropies(*codes[:3])
+    g, at = langid.grams(codes[0]), np.flatnonzero(codes[2])
+    at = at[at < codes[1][1]]
+    for k, m in enumerate(models):
+        assert whole[0, k] == pytest.approx(-m.log_probs([x[at] for x in g], [x[at - 1] for x in g]).mean(), rel=1e-5)
+    assert n[0] == len(at)
