@@ -3,8 +3,9 @@
 A recording (WAV bytes, 8 or 16-bit PCM, any rate and channels) becomes pitch-class frames; filters
 over their integral image compare rectangles of time and pitch class, and each answer is quantised
 to two bits of Gray code, so a position is one packed 32-bit integer. Recordings align where equal
-integers agree on an offset: half the bits of two integers are looked up, the histogram of offsets gives the
-best one, and the share of wrong bits over the overlap, there and one position beside it, decides.
+integers agree on an offset: half the bits of two integers, at two distances, are looked up; the histogram of
+offsets, in which neighbours share their votes, gives the best one; and the share of wrong bits over the overlap,
+there and beside it, decides.
 
 Recordings with the same integers are one class; classes are searched by their representative (least
 id), so a hot group of copies is one row. Silence is not looked up: silent recordings only share a
@@ -33,8 +34,8 @@ FILTERS = [(i % 4, (5 * i) % 12, (4, 6, 12, 8)[(i // 4 + i) % 4], (4, 8, 6, 12)[
 WIDEST = max(f[3] for f in FILTERS)
 #: Answers beyond these are the outer of four levels, by kind of filter.
 OUTER = (0.45, 0.12, 0.35, 0.12)
-#: Positions between the two integers that are looked up together.
-GAP = 3
+#: Positions between the two integers that are looked up together, and the bits of each.
+GAPS, MASKS = (3, 6), (0xFFFF, 0xFFFF0000)
 _GRAY = np.array([0, 1, 3, 2], np.uint64)
 
 
@@ -124,21 +125,22 @@ def fingerprints(media: DataFrame, id_col: str = "id", audio: str = "audio") ->
 
 
 def _looked_up(rows: DataFrame, who: str) -> DataFrame:
-    """``who, pos, key``: a half of the bits of two integers ``GAP`` positions apart; of a run of equal keys the first, and none that is all zero."""
+    """``who, kind, pos, key``: a half of the bits of two integers; of a run of equal keys the first, and none that is all zero."""
     arrays = []
-    for mask in (0xFFFF, 0xFFFF0000):
+    for kind, (mask, gap) in enumerate((m, g) for m in MASKS for g in GAPS):
         bits = lambda x: x.cast("long").bitwiseAND(F.lit(mask))  # noqa: B023, E731
         keys = F.transform(
-            F.slice("fp", 1, F.greatest(F.size("fp") - GAP, F.lit(0))),
-            lambda x, k: F.shiftleft(bits(x), 32).bitwiseOR(bits(F.element_at("fp", (k + GAP + 1).cast("int")))),  # noqa: B023
+            F.slice("fp", 1, F.greatest(F.size("fp") - gap, F.lit(0))),
+            lambda x, k: F.shiftleft(bits(x), 32).bitwiseOR(bits(F.element_at("fp", (k + gap + 1).cast("int")))),  # noqa: B023
         )
-        rows = rows.withColumn(f"keys_{mask}", keys)
-        told = F.transform(f"keys_{mask}", lambda x, k: F.struct(k.alias("pos"), x.alias("key"), F.when(k > 0, F.element_at(f"keys_{mask}", F.greatest(k, F.lit(1)).cast("int"))).alias("last")))  # noqa: B023
+        rows = rows.withColumn(f"keys_{kind}", keys)
+        last = lambda k: F.when(k > 0, F.element_at(f"keys_{kind}", F.greatest(k, F.lit(1)).cast("int")))  # noqa: B023, E731
+        told = F.transform(f"keys_{kind}", lambda x, k: F.struct(F.lit(kind).alias("kind"), k.alias("pos"), x.alias("key"), last(k).alias("last")))  # noqa: B023
         arrays.append(F.filter(told, lambda s: (s["key"] != 0) & (s["last"].isNull() | (s["last"] != s["key"]))))
-    return rows.select(who, F.explode(F.concat(*arrays)).alias("s")).select(who, "s.pos", "s.key")
+    return rows.select(who, F.explode(F.concat(*arrays)).alias("s")).select(who, "s.kind", "s.pos", "s.key")
 
 
-def align(prints: DataFrame, asks: str, id_col: str = "id", most_wrong: float = 0.25, least_overlap: int = 16, least_votes: int = 2) -> DataFrame:
+def align(prints: DataFrame, asks: str, id_col: str = "id", most_wrong: float = 0.2, least_overlap: int = 24, least_votes: int = 2) -> DataFrame:
     """Alignments of the rows for which the SQL condition ``asks`` holds with all classes but their own.
 
     ``query_id, match_id`` (the class's representative), ``match_rows`` (its size), ``shift`` (the
@@ -150,11 +152,13 @@ def align(prints: DataFrame, asks: str, id_col: str = "id", most_wrong: float =
     asking = stored(prints.where("asks and size(fp) > 1").select(F.col("id").alias("query_id"), "fp", "mark").join(classes.select("mark", "rep", F.col("fp").alias("f")), ["mark"]).where("fp = f").select("query_id", "fp", F.col("rep").alias("own")), "asking")
     # copies among the queries are looked up once, by their representative
     once = asking.select("own", "fp").distinct()
-    hits = _looked_up(once, "own").withColumnRenamed("pos", "p").join(_looked_up(classes.where("rep is not null"), "rep"), "key").where("own <> rep")
+    hits = _looked_up(once, "own").withColumnRenamed("pos", "p").join(_looked_up(classes.where("rep is not null"), "rep"), ["kind", "key"]).where("own <> rep")
     votes = hits.groupBy("own", "rep", (F.col("p") - F.col("pos")).alias("shift")).agg(F.count("*").alias("votes"))
+    # a take that begins between two frames has its votes at two offsets
+    votes = votes.select("own", "rep", F.explode(F.array(F.col("shift"), F.col("shift") - 1)).alias("shift"), "votes").groupBy("own", "rep", "shift").agg(F.sum("votes").alias("votes"))
     best = votes.groupBy("own", "rep").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), "shift")).alias("b")).select("own", "rep", "b.shift", "b.votes").where(F.col("votes") >= least_votes)
-    # neighbouring offsets share the votes of a take that begins between two frames: the fewest wrong bits decide
-    best = best.withColumn("shift", F.explode(F.array(*[F.col("shift") + k for k in (-1, 0, 1)])))
+    # of the offsets there and beside them the fewest wrong bits decide
+    best = best.withColumn("shift", F.explode(F.array(*[F.col("shift") + k for k in (-1, 0, 1, 2)])))
     both = best.join(once, "own").join(classes.select("rep", F.col("fp").alias("other"), F.col("rows").alias("match_rows")), "rep")
     overlap = F.least(F.size("fp") - F.greatest("shift", F.lit(0)), F.size("other") + F.least("shift", F.lit(0)))
     both = both.withColumn("overlap", overlap).where(F.col("overlap") >= least_overlap)
