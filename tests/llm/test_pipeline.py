@@ -10,8 +10,8 @@ import corpus_pipeline
 from placeloom.llm import langid, mixing
 from placeloom.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
+from .test_minhash import plain_groups
 from .test_quality import plain
-from .test_simhash import plain_components, plain_fingerprint
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -29,7 +29,7 @@ def test_stages(spark, sf_dir, tmp_path):
     assert len(after) >= 0.98 * len(before) and {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
     before, after = out["simhash_near_dedup"]
     order = sorted(before, key=lambda r: r["doc_id"])
-    roots = plain_components([plain_fingerprint(r["text"]) for r in order])
+    roots = plain_groups([r["text"] for r in order])  # five words, a similarity of 0.8
     assert sorted(r["doc_id"] for r in after) == sorted({order[k]["doc_id"] for k in roots})
     before, after = out["mixing"]
     plan = mixing.plan_mix(spark.read.parquet(f"{tmp_path}/simhash_near_dedup")).collect()
