@@ -80,7 +80,8 @@ def status_changes(events: DataFrame, give_up: str | None = "10 minutes", rememb
         state.update((last,))
         if wait:
             state.setTimeoutDuration(keep if last in ("completed", "failed") else wait)
-        yield pd.DataFrame(out, columns=["post_id", "status", "previous", "error_message", "event_time"])
+        if out:
+            yield pd.DataFrame(out, columns=["post_id", "status", "previous", "error_message", "event_time"])
 
     key_type = dict(events.dtypes)["post_id"]
     schema = f"post_id {key_type}, status string, previous string, error_message string, event_time timestamp"
