@@ -3,9 +3,9 @@
 A recording (WAV bytes, 8 or 16-bit PCM, any rate and channels) becomes pitch-class frames; filters
 over their integral image compare rectangles of time and pitch class, and each answer is quantised
 to two bits of Gray code, so a position is one packed 32-bit integer. Recordings align where equal
-integers agree on an offset: half the bits of two integers, at two distances, are looked up; the histogram of
-offsets, in which neighbours share their votes, gives the best one; and the share of wrong bits over the overlap,
-there and beside it, decides.
+integers agree on an offset: a quarter of the bits of four integers, which stand apart so that chance seldom
+repeats them, are looked up; the histogram of offsets, in which neighbours share their votes, gives the best one;
+and the share of wrong bits over the overlap, there and beside it, decides.
 
 Recordings with the same integers are one class; classes are searched by their representative (least
 id), so a hot group of copies is one row. Silence is not looked up: silent recordings only share a
@@ -34,8 +34,8 @@ FILTERS = [(i % 4, (5 * i) % 12, (4, 6, 12, 8)[(i // 4 + i) % 4], (4, 8, 6, 12)[
 WIDEST = max(f[3] for f in FILTERS)
 #: Answers beyond these are the outer of four levels, by kind of filter.
 OUTER = (0.45, 0.12, 0.35, 0.12)
-#: Positions between the two integers that are looked up together, and the bits of each.
-GAPS, MASKS = (3, 6), (0xFFFF, 0xFFFF0000)
+#: Where the integers stand of which a byte each is looked up together.
+STEPS = (0, 5, 10, 15)
 _GRAY = np.array([0, 1, 3, 2], np.uint64)
 
 
@@ -125,14 +125,13 @@ def fingerprints(media: DataFrame, id_col: str = "id", audio: str = "audio") ->
 
 
 def _looked_up(rows: DataFrame, who: str) -> DataFrame:
-    """``who, kind, pos, key``: a half of the bits of two integers; of a run of equal keys the first, and none that is all zero."""
+    """``who, kind, pos, key``: each of the four bytes (``kind``) of integers at ``STEPS`` from a position; of a run of equal keys the first, and none that is all zero."""
     arrays = []
-    for kind, (mask, gap) in enumerate((m, g) for m in MASKS for g in GAPS):
-        bits = lambda x: x.cast("long").bitwiseAND(F.lit(mask))  # noqa: B023, E731
-        keys = F.transform(
-            F.slice("fp", 1, F.greatest(F.size("fp") - gap, F.lit(0))),
-            lambda x, k: F.shiftleft(bits(x), 32).bitwiseOR(bits(F.element_at("fp", (k + gap + 1).cast("int")))),  # noqa: B023
-        )
+    for kind in range(4):
+        byte = lambda x: F.shiftrightunsigned(x, 8 * kind).bitwiseAND(F.lit(0xFF))  # noqa: B023, E731
+        at = lambda k, step: F.element_at("fp", (k + step + 1).cast("int"))
+        places = F.when(F.size("fp") > STEPS[-1], F.sequence(F.lit(0), F.size("fp") - STEPS[-1] - 1)).otherwise(F.array().cast("array<int>"))
+        keys = F.transform(places, lambda k: sum((F.shiftleft(byte(at(k, step)).cast("long"), 8 * n) for n, step in enumerate(STEPS[1:], 1)), byte(at(k, 0)).cast("long")))  # noqa: B023
         rows = rows.withColumn(f"keys_{kind}", keys)
         last = lambda k: F.when(k > 0, F.element_at(f"keys_{kind}", F.greatest(k, F.lit(1)).cast("int")))  # noqa: B023, E731
         told = F.transform(f"keys_{kind}", lambda x, k: F.struct(F.lit(kind).alias("kind"), k.alias("pos"), x.alias("key"), last(k).alias("last")))  # noqa: B023
