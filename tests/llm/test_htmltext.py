@@ -243,6 +243,19 @@ def test_whole_table(spark, sf_dir):
         assert r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
 
 
+def test_whole_table_without_article_tags(spark, sf_dir, monkeypatch):
+    """The texts stay when no tag names the article, and change when another region is chosen."""
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    by = htmltext.learn(table)
+    pages = [r["html"] for r in table.collect()]
+    texts = [htmltext.main_text(p, by) for p in pages]
+    assert [htmltext.main_text(re.sub("</?article>", "", p), by) for p in pages] == texts
+    assert [htmltext.main_text(p.replace("<article>", '<div class="content has-sidebar">').replace("</article>", "</div>"), by) for p in pages] == texts
+    scored = lambda scores: [k for k, s in enumerate(scores) if s > 0]
+    monkeypatch.setattr(htmltext, "best_region", lambda scores: (k := scored(scores)[len(scored(scores)) // 2], k + 1) if scored(scores) else (0, 0))
+    assert sum(htmltext.main_text(p, by) != t for p, t in zip(pages, texts)) > 0.8 * len(pages)
+
+
 def test_tables_with_gaps(spark):
     rows = spark.createDataFrame([(1, None, None, "x"), (None, "u", PAGE, "x"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     by = htmltext.learn(rows)
