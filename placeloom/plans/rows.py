@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import enrich, frames, mutate, normalize, paging, policy, posts
+from ..operators import analysis, enrich, frames, mutate, normalize, paging, policy, posts
 from ..schemas import INSTAGRAM, TIKTOK
 from ..sources import tables as sources
 from ..streaming import status as states
@@ -214,6 +214,13 @@ CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE o_orderstatus END AS author_use
 CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 END AS likes, o_orderkey % 13 AS views, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 4 AS DOUBLE) END AS video_duration, CASE WHEN o_orderkey % 2 = 1 THEN 9 END AS width, o_orderkey % 6 = 0 AS paid_partnership FROM orders"""
 )
 def instagram_posts(spark: SparkSession, d: str) -> DataFrame:
+    return _instagram(spark, d).select(
+        F.col("source_url").cast("long").alias("id"), "content_type", "content_id", "author_username", "caption", F.array_join("images", "|").alias("images"), F.col("metrics.likes").alias("likes"), F.col("metrics.views").alias("views"),
+        "video_duration", F.col("dimensions.width").alias("width"), "paid_partnership",
+    )
+
+
+def _instagram(spark: SparkSession, d: str) -> DataFrame:
     """Orders as raw posts of one source: carousels, reels, pictures, hidden likes and missing fields, by their numbers."""
     key = F.col("o_orderkey")
     number = key.cast("string")
@@ -223,15 +230,44 @@ def instagram_posts(spark: SparkSession, d: str) -> DataFrame:
             F.when(key % 11 > 0, F.concat(F.lit("i"), number)).otherwise("").alias("id"), F.concat(F.lit("s"), number).alias("shortCode"), F.when(kind == 0, "Sidecar").when(kind == 1, "Video").otherwise("Image").alias("type"),
             F.when(kind.isin(1, 2), "v").when(kind == 0, "v").alias("videoUrl"), F.lit("pic").alias("displayUrl"), F.when(kind == 3, F.array(F.lit("x"))).alias("images"),
             F.when(kind == 0, F.array(F.struct(F.lit("d1").alias("displayUrl"), F.lit("u1").alias("url")), F.struct(F.lit("").alias("displayUrl"), F.lit("u2").alias("url")))).alias("childPosts"),
-            F.when(key % 3 > 0, F.col("o_orderstatus")).alias("ownerUsername"), F.col("o_orderpriority").alias("caption"), F.when(key % 7 > 0, key % 7).otherwise(-1).alias("likesCount"), (key % 13).alias("videoViewCount"),
+            F.when(key % 3 > 0, F.col("o_orderstatus")).alias("ownerUsername"), F.col("o_orderpriority").alias("caption"), F.when(key % 7 > 0, key % 7).otherwise(-1).alias("likesCount"), (key % 13).alias("videoViewCount"), F.lit(5).alias("commentsCount"),
             (key % 4).cast("double").alias("videoDuration"), (key % 2 * 9).alias("dimensionsWidth"), F.lit(16).alias("dimensionsHeight"), F.when(key % 6 == 0, True).alias("paidPartnership"), number.alias("url"),
         )).alias("doc")
     )
-    got = normalize.instagram(raw.select(F.from_json("doc", INSTAGRAM).alias("d")).select("d.*"))
-    return got.select(
-        F.col("source_url").cast("long").alias("id"), "content_type", "content_id", "author_username", "caption", F.array_join("images", "|").alias("images"), F.col("metrics.likes").alias("likes"), F.col("metrics.views").alias("views"),
-        "video_duration", F.col("dimensions.width").alias("width"), "paid_partnership",
+    return normalize.instagram(raw.select(F.from_json("doc", INSTAGRAM).alias("d")).select("d.*"))
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 > 0 THEN 'i' || o_orderkey ELSE 's' || o_orderkey END AS content_id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 ELSE 0 END AS likes, CAST(5 AS BIGINT) AS comments, 'scraped' AS status FROM orders"""
+)
+def post_cards(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of a crawled post before any analysis."""
+    content = _instagram(spark, d)
+    return normalize.card(content).join(content.select("content_id", F.col("source_url").cast("long").alias("id")), "content_id").select("id", "content_id", "likes", "comments", "status")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS told FROM orders)
+SELECT id, CASE WHEN told THEN 'S ' || id END AS content_summary, CASE WHEN told THEN 'food' END AS primary_category, CASE WHEN told THEN 'A|B|C' END AS mentioned_brands, CASE WHEN told THEN true END AS is_promotional,
+CAST(CASE WHEN id % 7 > 0 AND id % 13 > 0 THEN round((id % 7 + 5) / (id % 13) * 100, 4) END AS DOUBLE) AS engagement_rate, CASE WHEN id % 2 = 0 THEN 'p' || id END AS place_id, 'v1 o1' AS ocr_combined_text,
+CASE WHEN id % 2 = 1 THEN 'vertical' END AS orientation, CAST(16 AS BIGINT) AS n_sections, id % 7 = 0 AS likes_unavailable, id % 5 = 0 AS transcribed FROM o"""
+)
+def analysed_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Analysis documents with all sections, from answers that are whole, empty or no JSON, and the rows that are saved of them."""
+    key = F.col("source_url").cast("long")
+    told = F.format_string('{"content":{"summary":"S %d","primary_category":"food"},"entities":{"brands":[{"name":"A"},{"name":"B"}]},"visual_analysis":{"brands_visible":["B","C"]},"promotion":{"is_promotional":true}}', key)
+    content = _instagram(spark, d).withColumn("answer", F.when(key % 3 == 0, told).when(key % 3 == 1, "no json").otherwise("{}"))
+    content = content.withColumn("transcript", F.when(key % 5 == 0, "said").otherwise("")).withColumn("ocr_texts", F.array(F.lit("o1"), F.lit("v1"))).withColumn("vision_texts", F.array(F.lit("v1"), F.lit("")))
+    done = analysis.sections(content).withColumn("place_ids", F.when(key % 2 == 0, F.array(F.concat(F.lit("p"), key.cast("string")))).otherwise(F.array().cast("array<string>"))).withColumn("user_id", F.lit(""))
+    saved = analysis.saved_post(done).select(
+        "content_id", "content_summary", "primary_category", F.array_join("mentioned_brands", "|").alias("mentioned_brands"), "is_promotional", F.col("engagement_rate").cast("double").alias("engagement_rate"), "place_id", "ocr_combined_text",
+    )
+    quality = "analysis.data_quality"
+    facts = done.select(
+        "content_id", key.alias("id"), F.col("analysis.content.dimensions.orientation").alias("orientation"), F.lit(len(done.schema["analysis"].dataType.fieldNames())).cast("long").alias("n_sections"),
+        F.array_contains(f"{quality}.unavailable_metrics", "likes").alias("likes_unavailable"), F.col(f"{quality}.transcript_available").alias("transcribed"),
     )
+    return facts.join(saved, "content_id").drop("content_id")
 
 
 @query(
