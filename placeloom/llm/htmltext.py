@@ -8,8 +8,9 @@ whose words the region holds four fifths or more. An ``<article>`` tag by itself
 
 Elements that are no article by their kind or role (menus, page headers, footers, sidebars, forms)
 score nothing and are left out of the region. So are those whose classes and ids weigh against
-content: each class or id has a weight, counted on the labelled pages and begun at -2 for names of
-notices, adverts, sidebars and the like. An element that holds most of the text around it stays.
+content: each class or id has a weight, counted on the labelled pages; names of notices, adverts,
+sidebars and the like begin at -2 and can only fall. An element that holds most of the text around it
+stays, but for readers' comments.
 
 Blocks are trimmed, white space inside them becomes one space, and they are joined by line feeds;
 character references are decoded. Null and empty pages, and pages without words, have an empty
@@ -73,6 +74,7 @@ LEFT_OUT_NAMES = frozenset(
 )
 #: Parts that only say where or what kind of box a name such as ``left-sidebar`` means.
 PLACES = frozenset("site page main top bottom left right primary secondary global box bar list wrapper wrap container section block area inner outer button buttons link links item items panel".split())
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 Weights = dict[str, float]
@@ -126,7 +128,7 @@ def _judge(node: Node, attrs: dict[str, str], by: Weights) -> None:
     name, tokens = node.name, _tokens(attrs)
     if name in LEFT_OUT or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in LEFT_OUT_ROLES:
         node.out = True
-    elif re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I) or not tokens.isdisjoint(("comment", "comments")):
+    elif re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I) or any(named_out(t) and not COMMENTS.isdisjoint(re.split("[-_:]+", t)) for t in tokens):
         node.out = True
     elif name in ("html", "body", "article", "main"):
         pass
@@ -342,7 +344,10 @@ def weights(counts: dict[tuple[str, bool], int], names: dict[tuple[str, bool], i
     for k in {k for k, _ in names} - {"."}:
         n = (pages or {}).get(k, 0)
         v = max(-3.0, min(3.0, _odds(k, names, names.get((".", True), 0), names.get((".", False), 0))))
-        out[k] = ((NAMED if named_out(k[1:]) else 0.0) * PRIOR_PAGES + v * n) / (PRIOR_PAGES + n)
+        if named_out(k[1:]):  # a label can't tell the notices inside an article from its text, so counts don't raise these
+            out[k] = min(NAMED, (NAMED * PRIOR_PAGES + v * n) / (PRIOR_PAGES + n))
+        else:
+            out[k] = v * n / (PRIOR_PAGES + n)
     return out
 
 

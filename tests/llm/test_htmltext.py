@@ -86,18 +86,24 @@ def test_the_region_decides():
 
 
 def test_names_are_weighed_by_labels():
-    """A name that labelled pages only have outside articles is left out; one that they have inside stays, whatever it is called."""
-    page = "<nav>x</nav><article><p>" + LONG + "</p><div class=notice>noted well here</div></article><div class=tracks>some other words out here</div>"
+    """A name that labelled pages only have outside articles is left out; one of those of notices stays out though labels have it inside."""
+    page = "<nav>x</nav><article><p>" + LONG + "</p><div class=notice>noted well here</div><div class=figures>one and two</div></article><div class=tracks>some other words out here</div>"
     names, tags = Counter(), Counter()
     for _ in range(50):
         names.update(htmltext.name_counts(page))
         tags.update(htmltext.label_counts(page))
     by = htmltext.weights(tags, names, {k: 50 for k, _ in names})
-    assert by[".tracks"] < -1 < 0 < by[".notice"] and "." not in by
-    text = htmltext.main_text(f"<body><div><p>{LONG}</p><div class=notice>keep this</div><div class=tracks>not this</div><p>{LONG}</p></div></body>", by)
+    assert by[".tracks"] < -1 and by[".notice"] == htmltext.NAMED and by[".figures"] > 0 and "." not in by
+    text = htmltext.main_text(f"<body><div><p>{LONG}</p><div class=notice>not this</div><div class=figures>keep this</div><div class=tracks>nor this</div><p>{LONG}</p></div></body>", by)
     assert text == f"{LONG.strip()}\nkeep this\n{LONG.strip()}"
 
 
+def test_many_comments_on_a_short_article():
+    comments = "".join(f"<li><h4>Reader {k}</h4><p>{LONG}</p></li>" for k in range(20))
+    page = f"<body><div><h1>Title</h1><p>The short article is here.</p></div><ol class=comment-list>{comments}</ol></body>"
+    assert htmltext.main_text(page, htmltext.DEFAULT) == "Title\nThe short article is here."
+
+
 @pytest.mark.parametrize(
     "part",
     ["<a x='", '<a x="', "<![CDATA[x ", "<b>x</i>", "<b>", "<p><b>", "<!-- x", "<", "</", "<a ", "<a x='>'", "<iframe>", "<b><div></div>", "<svg><p>", "<li><b>", "<p class='ad x'>y", "<td><div>", "</script ", "<a ='><b =\">", "<ul><li>x"],
