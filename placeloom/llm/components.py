@@ -14,8 +14,10 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links of ``u`` to neighbours ``v`` are moved to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = links.join(least, "u")
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    # an expression as the key: its rows are shuffled anew for the join, and adaptive execution only splits a hot key there
+    least = least.select(F.when(F.col("u").isNotNull(), F.col("u")).alias("w"), F.least("u", "m").alias("m"))
+    joined = links.join(least, links["u"] == least["w"])
     if large:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     moved = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
