@@ -61,6 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    release()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,7 +102,7 @@ def keep(key: object, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Give freed memory back to the system, where the C library can."""
+    """Give freed memory back to the system, where the C library can; in workers after a partition, in the driver after a table is stored."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
