@@ -70,6 +70,19 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def bitmap(keys: DataFrame, column: str, n: int, most: int) -> np.ndarray:
+    """A bitmap (bytes, lowest bit first) of the low bits of ``n`` keys, of ``most`` bits at most; a broadcast of a bounded size."""
+    bits = 1 << 15
+    while bits < min(most, 32 * n):
+        bits *= 2
+    place = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that clashes with none of those taken (Spark compares them without case)."""
     low = {c.lower() for c in taken}

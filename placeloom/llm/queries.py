@@ -7,18 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, htmltext, langid, mixing, packing, quality, recordings, sharding, simhash, urlfilter, warc
+from .common import WORD_PATTERN
+from . import align, chroma, exact, htmltext, langid, mixing, packing, periodic, quality, recordings, sharding, simhash, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The public tokenizer that the queries use; the operators take a path."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 #: Dated entries of the query's list: list, effect, kind, pattern, action, day of 2024.
@@ -102,6 +103,30 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.group_equal(_read(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a tenth of the documents are made to repeat themselves from some word on."""
+    hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    n, g = F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"), F.floor(hashed / 10)
+    begin = F.pmod(g, F.greatest(n, F.lit(1)))
+    period = 1 + F.floor((n - begin) / (3 + F.pmod(g, F.lit(8))))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.when((hashed % 10 == 0) & (n > 0), periodic.looped(F.col("text"), begin, period)).otherwise(F.col("text")).alias("text"))
+    best = periodic.longest(F.col("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return periodic.runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_language_id": op2_language_id,
@@ -113,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Targets by sources: capped sources are those whose cap per weight is least, as many as leave no other above its cap.
@@ -194,4 +222,12 @@ FROM captures c LEFT JOIN found f USING (page_id)
 _OP1 = _OP1.replace("@URL@", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)")
 _OP1 = _OP1.replace("@ENTRIES@", ", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', {_YEAR + k * _DAY})" for a, b, c, d, e, k in LIST_ENTRIES))
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": _OP1, "op6_mixing": _OP6}
+#: Of rows that repeat an id and text one stays, whichever: they are alike.
+_OP11 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _OP1, "op6_mixing": _OP6, "op11_exact_dedup": _OP11}
