@@ -189,6 +189,8 @@ def longest(found: Column) -> Column:
 def looped(text: Column, begin: Column, period: Column) -> Column:
     """The text whose words from word ``begin`` on repeat the ``period`` words there, joined by a space."""
     words = F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1))
-    at = F.sequence(F.lit(0).cast("long"), F.size(words).cast("long") - 1)
-    place = lambda i: F.when(i < begin, i).otherwise(begin + F.pmod(i - begin, period)).cast("int")
-    return F.when(F.size(words) > 0, F.array_join(F.transform(at, lambda i: F.get(words, place(i))), " ")).otherwise(text)
+    place = lambda x, i: F.when(i < x["begin"], i).otherwise(x["begin"] + F.pmod(i - x["begin"], x["period"])).cast("int")
+    joined = lambda x: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.size(x["words"]).cast("long") - 1), lambda i: F.get(x["words"], place(x, i))), " ")
+    # bound by an outer array of one, as what a lambda refers to is evaluated for each element
+    bound = F.array(F.struct(words.alias("words"), begin.alias("begin"), period.alias("period")))
+    return F.get(F.transform(bound, lambda x: F.when(F.size(x["words"]) > 0, joined(x)).otherwise(text)), F.lit(0))
