@@ -114,6 +114,13 @@ def keep(key: object, make: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what the worker keeps, for tasks that have no use for it."""
+    if _KEPT:
+        _KEPT.clear()
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system, where the C library can; in workers after a partition, in the driver after a table is stored."""
     pa.default_memory_pool().release_unused()

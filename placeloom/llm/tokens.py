@@ -3,12 +3,16 @@
 A byte-level BPE splits a text by a pattern before it merges, so a text may be cut wherever that
 pattern surely begins a new token; equal pieces then have equal ids. The cuts are found with numpy
 on the UTF-8 bytes of many texts at once, and only pieces that a worker has not met yet go through
-the tokenizer.
+the tokenizer. The cuts hold for byte-level files with the usual pattern and no normaliser; texts for
+any other file are not cut.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 
@@ -46,15 +50,32 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def cuts_of(path: str) -> Callable[[np.ndarray], np.ndarray]:
+    """``cuts`` if the file's pattern is the one that they are made for, else no cuts."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    before = made.get("pre_tokenizer") or {}
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if usual and not made.get("normalizer") and (made.get("model") or {}).get("type") == "BPE":
+        return cuts
+    return lambda data: np.zeros(len(data), bool)
+
+
+def open_tokenizer(path: str) -> Any:
+    """The tokenizer of a file; strings of special tokens are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 class CachedTokenizer:
     """One per worker process; the cache is emptied when it holds ``most`` pieces or ``4 * most`` ids."""
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer, self.cuts = open_tokenizer(path), cuts_of(path)
         self.most = most
         self._clear()
 
@@ -94,7 +115,7 @@ class CachedTokenizer:
         """Ids of all texts in a row, and each text's offsets in them."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        begin = cuts(data)
+        begin = self.cuts(data)
         begin[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(begin)
         ends = np.r_[starts[1:], len(data)]

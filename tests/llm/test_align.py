@@ -85,15 +85,57 @@ ODD = [
 ]
 
 
-@settings(max_examples=400, deadline=None)
+def whole(aligner, libraries, text: str) -> None:
+    """Segments' ids, one after another, are those of the whole text."""
+    import pyarrow as pa
+
+    from placeloom.llm.common import utf8
+
+    data, offsets = utf8(pa.array([" " + text]))
+    begin = np.flatnonzero(aligner.a_cuts(data) & aligner.b_cuts(data)).tolist()
+    raw = data.tobytes()
+    parts = [raw[s:e].decode() for s, e in zip([0, *begin], [*begin, len(raw)])]
+    assert sum(aligner.piece_ids(parts), []) == (libraries[1].encode(text) or [aligner.b.piece_to_id("▁")]), text
+    assert sum((e.ids for e in aligner.a.encode_batch(parts, add_special_tokens=False)), []) == libraries[0].encode(" " + text, add_special_tokens=False).ids, text
+
+
+@settings(max_examples=600, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(list(" \n\t▁<>0xAé漢'aBs1.,")), st.characters(exclude_categories=["Cs"])), max_size=40))
-def test_piece_ids(aligner, libraries, text):
-    assert aligner.b(text) == libraries[1].encode(text)
+def test_ids_of_segments(aligner, libraries, text):
+    whole(aligner, libraries, text)
 
 
-def test_piece_ids_of_odd_texts(aligner, libraries):
+def test_ids_of_odd_texts(aligner, libraries):
     for text in ODD:
-        assert aligner.b(text) == libraries[1].encode(text), text
+        whole(aligner, libraries, text)
+
+
+def test_cuts_of_other_files(tmp_path):
+    """Texts for a tokenizer with another pattern are not cut."""
+    import json
+
+    from placeloom.llm import tokens
+
+    data = np.frombuffer(b"one two, three", np.uint8)
+    assert tokens.cuts_of(A)(data).any() and not tokens.cuts_of(tokenizer_path("word_bpe_49k.json"))(data).any()
+    made = json.load(open(A, encoding="utf-8"))
+    made["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    assert not tokens.cuts_of(str(tmp_path / "t.json"))(data).any()
+
+
+def test_a_full_cache_is_emptied(spark, edges, libraries, monkeypatch):
+    monkeypatch.setattr(align, "MEMO", 10)
+    docs = edges.where("length(text) < 20000 or text is null")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    aligner = align.Aligner(A, B, 10)
+    for _ in range(3):
+        aligner.settle()
+        import pyarrow as pa
+
+        counts = aligner.align(pa.array([t for _, t in rows]))[0]
+        want = plain(libraries, list(enumerate(t for _, t in rows)))
+        assert [tuple(c) for c in counts.tolist()] == [w[1:5] for w in sorted(want, key=lambda w: w[0])]
 
 
 @settings(max_examples=200, deadline=None)
