@@ -4,15 +4,15 @@ One model per language, of n-grams up to ``order`` characters: interpolated prob
 back-off weights lie in arrays sorted by n-gram hash. The language of the lowest cross-entropy per
 character wins. A text is rejected if it has no letter, or if its cross-entropy lies above its
 language's limit by more than three standard errors, which widen for short texts. The limit is
-calibrated by leaving languages out: it lies above nearly all of the language's own held-aside
-texts, and most of the way to what texts get from the models of the other languages only, as an
-unknown language would. So a text that quotes another language stays.
+calibrated by leaving languages out: it lies most of the way from the median of the language's own
+held-aside texts to what texts of all languages get from the models of the others only, as an
+unknown language would. Both hardly move with the sample. So a text that quotes another language stays.
 
 The models are fitted on a bounded sample of labelled rows: about ``docs_per_lang`` distinct whole
-texts a language, chosen by hash, with ``CHARS_PER_LANG`` characters at most, of the ``LANGS``
-languages with the most labelled texts. A model stops taking texts when it has its share of the
-``GRAMS`` n-grams that all models may hold, so what comes to the driver and lies in a worker is
-bounded, however many labels there are.
+texts a language, chosen by the hash of the text alone, but ``TEXTS`` and ``CHARS`` characters in all
+(``LEAST_TEXTS`` a language at least). A model stops taking texts when it has its share of the
+``GRAMS`` n-grams that all models may hold (``LEAST_GRAMS`` at least). So what comes to the driver and
+lies in a worker is bounded, and every label can be predicted however many there are.
 
 Null labels and null texts teach nothing; without any labelled text every prediction is ``und``.
 Null, empty and letter-less texts are ``und`` with score 0; a very long text is scored whole, in
@@ -31,18 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, keep, mix64, stored
+from .common import blocks, keep, mix64, small, stored
 
 ORDER = 5
 #: Labelled texts that one language's model is fitted and calibrated on, about.
 DOCS_PER_LANG = 400
-#: Most characters of them.
+#: Most such texts and characters of all languages, but so many texts a language at least.
+TEXTS, CHARS, LEAST_TEXTS = 100_000, 400_000_000, 20
+#: Most characters of a language.
 CHARS_PER_LANG = 4_000_000
-#: Most languages, and most n-grams and contexts of all models (16 bytes each).
-LANGS = 256
-GRAMS = 1_500_000
-#: A fifth of them calibrate; the limit lets this share of them pass.
+#: Most n-grams and contexts of all models (16 bytes each), but so many a language at least.
+GRAMS, LEAST_GRAMS = 1_500_000, 500
+#: A fifth of them calibrate; without other languages the limit lets this share of them pass.
 PASS_SHARE = 0.995
+#: What texts get from other languages' models, of so many texts at least: the quantile below which they lie. Over five
+#: samples of the same table it moved by 6 %, the 5 % quantile of each language's own such texts by 40 %.
+UNKNOWN_SHARE, LEAST_UNKNOWN = 0.25, 20
 #: Where the limit lies from a language's own texts (0) to those of unknown languages (1).
 TOWARDS_UNKNOWN = 0.75
 LEAST_DEVIATIONS = 4.0
@@ -101,6 +105,8 @@ class Model:
     floor: float = 1e-6
     within: float = 1.0
     limit: float = float("inf")
+    middle: float = 0.0
+    between: float = 0.0
 
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
@@ -131,7 +137,7 @@ def fit(lang: str, texts: list[str], order: int = ORDER, most: int = GRAMS) -> M
     """The model of one language, of about ``most`` n-grams and contexts at most; every fifth text calibrates (all do if there are few)."""
     held = texts[::5] if len(texts) >= 10 else texts
     taught = [t for k, t in enumerate(texts) if k % 5] if len(texts) >= 10 else texts
-    taught = [t for t in taught if 2 * len(t) <= most] or taught[:1]
+    taught = [t for t in taught if 2 * len(t) <= most] or sorted(taught, key=len)[:1]
     table: list[list[np.ndarray]] = []
     block: list[str] = []
     for k, t in enumerate(taught):
@@ -182,6 +188,7 @@ def fit(lang: str, texts: list[str], order: int = ORDER, most: int = GRAMS) -> M
         middle, model.within = float(np.median(h)), float(np.median(variances))
         between = max(0.02, 1.4826 * float(np.median(np.abs(h - middle))))
         own = h - 3 * np.sqrt(model.within / n)
+        model.middle, model.between = middle, between
         model.limit = max(middle + LEAST_DEVIATIONS * between, float(np.quantile(own, PASS_SHARE)))
     return model
 
@@ -196,7 +203,7 @@ def _rows(model: Model) -> pa.Table:
         kinds.append(np.full(len(h), 100 + n))
         hashes.append(h)
         values.append(v)
-    own = [model.floor, model.within, model.limit]
+    own = [model.floor, model.within, model.limit, model.middle, model.between]
     kinds.append(np.arange(200, 200 + len(own)))
     hashes.append(np.zeros(len(own), np.uint64))
     values.append(np.array(own))
@@ -204,19 +211,21 @@ def _rows(model: Model) -> pa.Table:
     return pa.table({"lang": pa.array([model.lang] * len(kind)), "kind": kind.astype(np.int32), "hash": np.concatenate(hashes).view(np.int64), "value": np.concatenate(values).astype(np.float64)})
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDER, id_col: str = "doc_id", text: str = "text", lang: str = "lang", langs: int = LANGS, grams: int = GRAMS) -> list[Model]:
-    """One model per non-null label, in code-point order; the models, bounded by the parameters, come to the driver."""
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("h")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
-    counts = stored(counts, "langs")
-    each = max(2_000, grams // max(1, counts.count()))
-    below = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count")) * F.lit(2.0**64)
-    sample = rows.join(F.broadcast(counts), "lang").where(F.col("h").cast("double") <= below).select("lang", "text").distinct()  # `langs` rows at most
-    upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = stored(sample.withColumn("upto", upto).where(F.col("upto") <= CHARS_PER_LANG).drop("upto"), "lang-sample")
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDER, text: str = "text", lang: str = "lang", grams: int = GRAMS, texts: int = TEXTS, seed: int = 0) -> list[Model]:
+    """One model per non-null label, in code-point order; the models, bounded by the parameters, come to the driver. Another ``seed`` chooses another sample."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit(seed)).alias("h")).where("lang is not null and text is not null")
+    counts = stored(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("count")), "langs")  # copies count once
+    langs = max(1, counts.count())
+    each, chars = max(LEAST_GRAMS, grams // langs), min(CHARS_PER_LANG, CHARS // langs)
+    wanted = max(LEAST_TEXTS, min(docs_per_lang, texts // langs))
+    below = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(float(wanted)) / F.greatest(F.col("count"), F.lit(1))) * F.lit(2.0**64)
+    sample = rows.join(small(counts), "lang").where(F.col("h").cast("double") <= below).select("lang", "text", "h").distinct()
+    over = Window.partitionBy("lang").orderBy("h", "text")
+    sample = sample.withColumn("upto", F.sum(F.length("text")).over(over)).withColumn("nth", F.row_number().over(over))
+    sample = stored(sample.where((F.col("upto") <= chars) | (F.col("nth") == 1)).select("lang", "text"), "lang-sample")
 
     def run(table: pa.Table) -> pa.Table:
-        texts = sorted(table.column("text").to_pylist(), key=lambda t: hash_text(t))
+        texts = sorted(table.column("text").to_pylist(), key=lambda t: (hash_text(t), t))
         return _rows(fit(table.column("lang")[0].as_py(), texts, order, each))
 
     got = sample.groupBy("lang").applyInArrow(run, "lang string, kind int, hash long, value double").toArrow()
@@ -226,7 +235,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDE
         own = langs_of == name
         k, h, v = kind[own], hashes[own].view(np.uint64), values[own]
         part = lambda n: (h[k == n][o := np.argsort(h[k == n])], v[k == n][o])
-        own_values = [float(v[k == 200 + n][0]) for n in range(3)]
+        own_values = [float(v[k == 200 + n][0]) for n in range(5)]
         models.append(Model(str(name), [part(n) for n in range(order)], [part(100 + n) for n in range(order)], *own_values))
     if len(models) > 1:
         _calibrate(sample, models, order)
@@ -234,7 +243,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDE
 
 
 def _calibrate(sample: DataFrame, models: list[Model], order: int) -> None:
-    """Move limits towards what texts of other languages get from a model, as the best of all but their own."""
+    """Set limits by what texts get from the best of all models but their own."""
     shared = _share(sample, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,17 +252,16 @@ def _calibrate(sample: DataFrame, models: list[Model], order: int) -> None:
             entropy, n = scorer.entropies(*symbols(batch.column(1).to_pylist(), order)[:3])
             known = {m.lang: k for k, m in enumerate(scorer.models)}
             entropy[np.arange(len(n)), [known[x] for x in batch.column(0).to_pylist()]] = np.inf
-            best = entropy.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), pa.array(entropy.min(axis=1)), pa.array(n)], ["best", "entropy", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(entropy.min(axis=1)), pa.array(n)], ["entropy", "n"])
 
-    got = sample.mapInArrow(run, "best int, entropy double, n long").where("n >= 200").select("best", "entropy").toArrow()
+    got = sample.mapInArrow(run, "entropy double, n long").where("n >= 200").select("entropy").toArrow()
     shared.unpersist()
-    best, entropy = got.column(0).to_numpy(), got.column(1).to_numpy()
-    for k, model in enumerate(models):
-        near = entropy[best == k] if (best == k).sum() >= 20 else entropy
-        if len(near):
-            unknown = float(np.quantile(near, 0.05))
-            model.limit = max(model.limit, model.limit + TOWARDS_UNKNOWN * (unknown - model.limit))
+    entropy = got.column(0).to_numpy()
+    if len(entropy) < LEAST_UNKNOWN:
+        return
+    unknown = float(np.quantile(entropy, UNKNOWN_SHARE))
+    for model in models:
+        model.limit = model.middle + max(LEAST_DEVIATIONS * model.between, TOWARDS_UNKNOWN * (unknown - model.middle))
 
 
 def hash_text(text: str) -> int:
