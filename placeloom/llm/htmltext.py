@@ -43,11 +43,11 @@ LABELLED = 500
 LEAST_SHARE = 0.02
 #: Labelled pages that a weight's beginning counts for.
 PRIOR_PAGES = 5
-BROKEN = 32
 #: A region is moved out to the ends of the elements of whose words it holds this share.
 MOST = 0.8
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_EVENT = re.compile(r">|=\s*+([\"'])")
 _TAG_END = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
 #: Skipped up to their closing tag; without one, the first to the end of the page, the others not at all.
@@ -69,12 +69,18 @@ LEFT_OUT = frozenset("svg nav footer aside head dialog button menu fieldset audi
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion banner banners sidebar sidebars rail menu menus nav navbar navigation topnav breadcrumb breadcrumbs cookie cookies consent gdpr "
-    "notice notices alert alerts popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion "
+    "notice notices alert alerts popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus "
     "footer masthead widget widgets toolbar pagination pager login search skip paywall copyright disclaimer".split()
 )
 #: Parts that only say where or what kind of box a name such as ``left-sidebar`` means.
 PLACES = frozenset("site page main top bottom left right primary secondary global box bar list wrapper wrap container section block area inner outer button buttons link links item items panel".split())
-COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Names of comments; those in the second set are of whole threads.
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+THREADS = frozenset("comments commentlist replies disqus".split())
+#: Elements that a thread has and a text seldom.
+TALK = frozenset("form textarea time button input".split())
+#: Names of adverts, which counts don't raise: they may stand in any article.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 Weights = dict[str, float]
@@ -89,7 +95,7 @@ NAMED, LEFT_OUT_AT = -2.0, -1.0
 class Node:
     """An element: where it begins and ends among the pieces, and the element around it."""
 
-    __slots__ = ("block", "depth", "end", "inside", "name", "order", "out", "parent", "soft", "start", "strict", "text_blocks", "words")
+    __slots__ = ("block", "depth", "end", "inside", "kind", "name", "order", "out", "parent", "soft", "start", "strict", "text_blocks", "thread", "words")
 
     def __init__(self, name: str, parent: Node | None, start: int, order: int) -> None:
         self.name, self.parent, self.start, self.end, self.order = name, parent, start, -1, order
@@ -101,6 +107,8 @@ class Node:
         #: left out whatever it holds; left out unless it holds most of the text around it, and (strict) headings or paragraphs
         self.out, self.soft, self.strict = bool(parent and parent.out), False, False
         self.words = self.text_blocks = 0
+        #: its name with its classes; whether they name a comment (1) or a thread of them (2)
+        self.kind, self.thread = name, 0
 
 
 def named_out(token: str) -> bool:
@@ -128,7 +136,7 @@ def _judge(node: Node, attrs: dict[str, str], by: Weights) -> None:
     name, tokens = node.name, _tokens(attrs)
     if name in LEFT_OUT or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in LEFT_OUT_ROLES:
         node.out = True
-    elif re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I) or any(named_out(t) and not COMMENTS.isdisjoint(re.split("[-_:]+", t)) for t in tokens):
+    elif re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         node.out = True
     elif name in ("html", "body", "article", "main"):
         pass
@@ -139,6 +147,42 @@ def _judge(node: Node, attrs: dict[str, str], by: Weights) -> None:
     elif tokens and not (name in HEADINGS or name == "p" and node.inside):
         node.soft = sum(by.get("." + t, NAMED if named_out(t) else 0.0) for t in tokens) <= LEFT_OUT_AT
         node.strict = node.inside is None
+        for t in tokens:
+            parts = set() if node.out or not named_out(t) else set(re.split("[-_:]+", t))
+            node.thread = max(node.thread, 2 if parts & THREADS else 1 if parts & COMMENTS else 0)
+        node.kind = f"{name} {attrs.get('class', '')}"
+
+
+class _TagEnds:
+    """Where tags end, once one was found that doesn't: each quote is followed once, so that many broken tags cost no more than the page.
+
+    A tag ends at the first > that stands in no quoted value; a quote without its like after it is an ordinary character.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.known = page, {}
+        self.events = [(m.start(), m[1], m.end()) for m in _EVENT.finditer(page)]
+        self.starts = [e[0] for e in self.events]
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def after(self, at: int) -> int:
+        """The end of the tag whose name ends here; -1 if there is none."""
+        chain, end = [], -1
+        while True:
+            k = bisect_left(self.starts, at)
+            if k == len(self.events):
+                break
+            if k in self.known:
+                end = self.known[k]
+                break
+            _, quote, upto = self.events[k]
+            if not quote:
+                end = upto
+                break
+            chain.append(k)
+            at = self.page.find(quote, upto) + 1 if upto <= self.last[quote] else upto
+        self.known.update(dict.fromkeys(chain, end))
+        return end
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str]]:
@@ -147,7 +191,8 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
     ends: dict[str, list[tuple[int, int]]] = {}
     for m in _CLOSED.finditer(page):
         ends.setdefault(m[1].lower(), []).append(m.span())
-    done = at = broken = 0  # what is before `done` is told, what is before `at` is text
+    ends_of: _TagEnds | None = None
+    done = at = 0  # what is before `done` is told, what is before `at` is text
     while (lt := page.find("<", at)) >= 0:
         at = lt + 1
         follows = page[lt + 1 : lt + 2]
@@ -169,9 +214,15 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
             done = at = end
         elif m := _NAME.match(page, lt + 1):
             name = m[0].lower()
-            got = _TAG_END.match(page, m.end()) if broken < BROKEN else None
-            broken += not got
-            end = got.end() if got else page.find(">", lt) + 1
+            if ends_of is None:
+                got = _TAG_END.match(page, m.end())
+                if not got:
+                    ends_of = _TagEnds(page)
+            if ends_of is not None:
+                end = ends_of.after(m.end())
+                end = end if end > 0 else page.find(">", lt) + 1
+            else:
+                end = got.end()
             attrs = page[m.end() : end - 1]
             yield "text", page[done:lt], ""
             done = at = end
@@ -276,7 +327,9 @@ def pieces(page: str, by: Weights) -> tuple[list[Piece], list[Node]]:
 
 
 def _leave_out(nodes: list[Node]) -> None:
-    """Elements that weigh against content go, unless they hold more than half of their article (or four fifths of the page)."""
+    """Threads of comments go; elements that weigh against content go, unless they hold more than half of their article (or four fifths of the page)."""
+    if any(n.thread for n in nodes):
+        _leave_out_threads(nodes)
     if not any(n.soft for n in nodes):
         return
     for n in reversed(nodes):
@@ -291,6 +344,26 @@ def _leave_out(nodes: list[Node]) -> None:
             n.out = not (most and (n.text_blocks > 2 or not n.strict))
 
 
+def _leave_out_threads(nodes: list[Node]) -> None:
+    """Elements named as comments go if they are built like them: with others of their kind beside or in them, or with forms, times or other comments; threads also after any paragraph or heading."""
+    first: dict[Node | None, int] = {}
+    for n in nodes:
+        if n.name == "p" or n.name in HEADINGS:
+            first.setdefault(n.inside, n.order)
+    talk, alike = set(), Counter()
+    for n in reversed(nodes):
+        if n.parent is not None:
+            alike[n.parent, n.kind] += 1
+            if n in talk or n.thread or n.name in TALK:
+                talk.add(n.parent)
+    many = {parent for (parent, kind), k in alike.items() if k > 1 and kind not in ("p", "p ")}
+    for n in nodes:  # parents come first
+        if n.parent is not None and n.parent.out:
+            n.out = True
+        elif n.thread:
+            n.out = n in talk or n in many or n.thread == 2 and first.get(n.inside, n.order) < n.order or alike[n.parent, n.kind] > 1
+
+
 def label_counts(page: str) -> Counter:
     """``(kind, inside)`` of a page that marks one article; empty otherwise. Kinds are those of ``Weights``; words and what holds them count by word.
 
@@ -344,10 +417,10 @@ def weights(counts: dict[tuple[str, bool], int], names: dict[tuple[str, bool], i
     for k in {k for k, _ in names} - {"."}:
         n = (pages or {}).get(k, 0)
         v = max(-3.0, min(3.0, _odds(k, names, names.get((".", True), 0), names.get((".", False), 0))))
-        if named_out(k[1:]):  # a label can't tell the notices inside an article from its text, so counts don't raise these
-            out[k] = min(NAMED, (NAMED * PRIOR_PAGES + v * n) / (PRIOR_PAGES + n))
-        else:
-            out[k] = v * n / (PRIOR_PAGES + n)
+        prior = NAMED if named_out(k[1:]) else 0.0
+        out[k] = (prior * PRIOR_PAGES + v * n) / (PRIOR_PAGES + n)
+        if not ADVERTS.isdisjoint(re.split("[-_:]+", k[1:])):
+            out[k] = min(prior, out[k])
     return out
 
 
