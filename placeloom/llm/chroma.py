@@ -10,7 +10,9 @@ and the share of wrong bits over the overlap, there and beside it, decides.
 Recordings with the same integers are one class; classes are searched by their representative (least
 id), so a hot group of copies is one row. Silence is not looked up: silent recordings only share a
 class. Null, empty and unreadable media have no frames and match nothing. Repeated rows and null ids
-count as members; extra columns are ignored; an empty table gives an empty result.
+count as members; extra columns are ignored; an empty table gives an empty result. A very long
+recording is read where it lies and transformed some hundred frames at a time: beside its own bytes an
+hour takes some 100 MB, most of them for its integral image.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import blocks, stored
 
 FRAME_SECONDS = 0.256
 HOPS = 4
+FRAMES_AT_ONCE = 256
 LOWEST, HIGHEST = 100.0, 1800.0
 #: Sixteen filters: kind, first pitch class, pitch classes, frames; the pitch classes wrap around.
 FILTERS = [(i % 4, (5 * i) % 12, (4, 6, 12, 8)[(i // 4 + i) % 4], (4, 8, 6, 12)[i % 4]) for i in range(16)]
@@ -39,32 +42,55 @@ STEPS = (0, 5, 10, 15)
 _GRAY = np.array([0, 1, 3, 2], np.uint64)
 
 
-def samples(media: bytes | None) -> tuple[np.ndarray, int]:
-    """Mono samples between -1 and 1, and the rate."""
+def _open(media: bytes | pa.Buffer | None) -> wave.Wave_read | None:
+    """The recording, read where it lies; None if it can't be read."""
     try:
-        with wave.open(io.BytesIO(media or b"")) as w:
-            rate, width, channels, raw = w.getframerate(), w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
+        w = wave.open(pa.BufferReader(media if media is not None else b""))
     except (wave.Error, EOFError):
-        return np.zeros(0), 0
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 2:
-        x = np.frombuffer(raw[: len(raw) // 2 * 2], "<i2").astype(np.float32) / 32768
-    else:
-        return np.zeros(0), 0
-    return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), rate
+        return None
+    return w if w.getsampwidth() in (1, 2) and w.getnchannels() and w.getframerate() else None
+
+
+def _mono(raw: bytes, width: int, channels: int) -> np.ndarray:
+    x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128 if width == 1 else np.frombuffer(raw[: len(raw) // 2 * 2], "<i2").astype(np.float32) / 32768
+    return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
+
+
+def samples(media: bytes | pa.Buffer | None) -> tuple[np.ndarray, int]:
+    """Mono samples between -1 and 1, and the rate."""
+    w = _open(media)
+    return (_mono(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()), w.getframerate()) if w else (np.zeros(0), 0)
+
+
+def frames(media: bytes | pa.Buffer | None, at_once: int = FRAMES_AT_ONCE) -> np.ndarray:
+    """The frames of ``chroma`` of a whole recording, which is read and transformed ``at_once`` frames at a time."""
+    w = _open(media)
+    if not w:
+        return np.zeros((0, 12))
+    size = frame_size(w.getframerate())
+    hop, left, out = size // HOPS, np.zeros(0, np.float32), [np.zeros((0, 12))]
+    while raw := w.readframes(size + (at_once - 1) * hop - len(left)):
+        x = np.concatenate([left, _mono(raw, w.getsampwidth(), w.getnchannels())])
+        found = chroma(x, w.getframerate())
+        out.append(found)
+        left = x[len(found) * hop :]
+    return np.concatenate(out)
+
+
+def frame_size(rate: int) -> int:
+    return 1 << max(4, round(np.log2(FRAME_SECONDS * rate)))
 
 
 def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     """Frames of twelve pitch classes of unit length; silent frames are zero."""
     if not rate:
         return np.zeros((0, 12))
-    size = 1 << max(4, round(np.log2(FRAME_SECONDS * rate)))
+    size = frame_size(rate)
     hop = size // HOPS
     if len(x) < size:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * np.hanning(size).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+    windows = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * np.hanning(size).astype(np.float32)
+    power = np.abs(np.fft.rfft(windows, axis=1)) ** 2
     freq = np.arange(power.shape[1]) * rate / size
     used = np.flatnonzero((freq >= LOWEST) & (freq <= HIGHEST))
     pitch = np.round(12 * np.log2(freq[used] / 440)).astype(int) % 12
@@ -115,11 +141,9 @@ def fingerprints(media: DataFrame, id_col: str = "id", audio: str = "audio") ->
     rows = media.select(id_col, audio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [packed(chroma(*samples(x.as_py()))) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], [id_col, "fp"])
+        for part in blocks(batches, audio, 1 << 23):
+            found = [packed(frames(x.as_buffer())) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], [id_col, "fp"])
 
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, fp array<int>")
 

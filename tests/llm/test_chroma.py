@@ -98,3 +98,30 @@ def test_query_against_all_pairs(spark, sf_dir):
     got = QUERIES["op5_media_columns"](spark, sf_dir).collect()
     found = {(r["query_id"], r["match_id"]) for r in got}
     assert len(asked) >= 4 and len(true) >= 24 and found <= true and len(found) >= 0.9 * len(true)
+
+
+@pytest.mark.parametrize(("rate", "width", "channels"), [(4000, 2, 1), (4000, 1, 2), (44_100, 2, 2)])
+def test_pieces_give_the_frames_of_the_whole(rate, width, channels):
+    rng = np.random.default_rng(6)
+    media = wav(np.concatenate([tone(f, 1, rate) for f in rng.choice([220, 247, 330, 440], 9)]) + rng.normal(0, 0.05, 9 * rate), rate, width, channels)
+    whole = chroma.chroma(*chroma.samples(media))
+    for at_once in (1, 3, 64):
+        assert np.array_equal(chroma.frames(media, at_once), whole)
+    assert len(chroma.frames(media[:-3])) in (len(whole), len(whole) - 1) and not len(chroma.frames(media[:50]))
+
+
+def test_a_long_recording_takes_bounded_memory():
+    """Beside its bytes, four times the length takes little more: half an hour of stereo at 44.1 kHz under 100 MB."""
+    import tracemalloc
+
+    minute = wav(np.random.default_rng(7).normal(0, 0.1, 60 * 44_100), 44_100, 2, 2)
+    peaks = []
+    for minutes in (8, 32):
+        media = wav(np.zeros(0), 44_100, 2, 2)[:44] + minute[44:] * minutes
+        media = media[:4] + (len(media) - 8).to_bytes(4, "little") + media[8:40] + (len(media) - 44).to_bytes(4, "little") + media[44:]
+        tracemalloc.start()
+        found = chroma.packed(chroma.frames(media))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) > 1200 * minutes
+    assert peaks[1] < 100e6 and peaks[1] < 3 * peaks[0]
