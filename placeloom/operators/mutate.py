@@ -26,15 +26,23 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(whole).select(*keys, "__row__.*").select(*rows.columns)
 
 
+def least(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the least row by all other columns in order (nulls first), so that reruns agree."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row__")).select(*keys, "__row__.*").select(*rows.columns)
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is new are added, one of each key; others change nothing. Null keys are never equal."""
-    fresh = rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    """Rows whose key is new are added, one of each key (the least by all columns); others change nothing. Null keys meet no row of the target."""
+    fresh = least(rows, keys).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Rows replace those of the same key or are added; of several with one key the last by ``order`` counts."""
-    rows = latest(rows, keys, order) if order else rows.dropDuplicates(keys)
+    """Rows replace those of the same key or are added; of several with one key the last by ``order`` counts, without an order the least by all columns."""
+    rows = latest(rows, keys, order) if order else least(rows, keys)
     return target.join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
 
 
@@ -70,12 +78,13 @@ def merge_duplicate(posts: DataFrame, saved: DataFrame, columns: list[str]) -> D
     """Finished posts (``id, platform, content_id`` and ``columns``) that came in under placeholder rows.
 
     Where another row has the platform and content id, that canonical row takes the columns and the placeholder
-    is only marked completed; else the placeholder takes them with the content id.
+    is only marked completed; else the placeholder takes them with the content id. Of several placeholders of one
+    content id that of the least id counts, of its rows the least by the columns.
     """
     there = posts.select(F.col("platform"), F.col("content_id"), F.col("id").alias("canonical"))
     joined = saved.join(there, ["platform", "content_id"], "left").withColumn("target", F.coalesce("canonical", "id"))
-    main = joined.select(F.col("target").alias("id"), "platform", "content_id", *columns, F.lit("completed").alias("status"))
-    merged = update(posts, main.dropDuplicates(["id"]), ["id"])
+    main = joined.select(F.col("target").alias("id"), F.col("id").alias("__from__"), "platform", "content_id", *columns, F.lit("completed").alias("status"))
+    merged = update(posts, least(main, ["id"]).drop("__from__"), ["id"])
     placeholders = joined.where("target <> id").select("id", F.lit("completed").alias("status"))
     return update(merged, placeholders, ["id"])
 

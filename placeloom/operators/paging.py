@@ -50,6 +50,62 @@ def paged(df: DataFrame, order: list[Column], page: Page) -> DataFrame:
     return df.orderBy(*order).offset(page.offset).limit(page.limit)
 
 
+def _levels(c: str, kind: str) -> list[Column]:
+    """Numbers that never fall as a column rises, each to tell apart what the one before holds equal; nulls stay null."""
+    if kind == "string":
+        code = lambda k: F.conv(F.rpad(F.hex(F.substring(F.col(c).cast("binary"), k, 6)), 12, "0"), 16, 10).cast("double")
+        return [code(1), code(7), code(13)]
+    if kind in ("date", "timestamp"):
+        return [F.unix_micros(F.col(c).cast("timestamp")).cast("double")]
+    if kind == "boolean":
+        return [F.col(c).cast("int").cast("double")]
+    return [F.col(c).cast("double")]
+
+
+def deep_page(df: DataFrame, order: list[tuple[str, bool]], page: Page, most: int = 100_000, buckets: int = 1024) -> DataFrame:
+    """One page however deep, without sorting what lies before it.
+
+    ``order`` is columns with whether they rise; nulls come last upwards and first downwards, as in ``sort_keys``. A histogram of
+    the first column tells in which of ``buckets`` the page lies; those are divided anew, by the next column where the
+    first tells no more apart, until they hold ``most`` rows or can't be divided. Only their rows are sorted. Each turn is
+    an aggregation that brings ``buckets`` counts; the rows should come from files or a stored table. A NaN counts as the
+    greatest number. A page beyond the end is empty.
+    """
+    kinds = dict(df.dtypes)
+    keys = [c.asc_nulls_last() if up else c.desc_nulls_first() for c, up in ((F.col(name), up) for name, up in order)]
+    levels = [(name, level, up) for name, up in order for level in _levels(name, kinds[name])]
+    rows, skipped, held_before, at = df, 0, None, 0
+    while at < len(levels):
+        name, level, up = levels[at]
+        # a quarter, so that differences don't overflow; what is beyond is told apart by the sort
+        level = F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), F.when(F.isnan(level), F.lit(1.7e308)).otherwise(level))) / 4
+        low, high, one = rows.agg(F.min(level), F.max(level), F.min(name).eqNullSafe(F.max(name))).first()
+        width = 0.0 if low is None else max((high - low) / buckets, 5e-324)
+        part = F.least(F.lit(buckets - 1), F.floor((level - F.lit(low)) / F.lit(width))).cast("int") if low is not None and high > low else F.when(level.isNotNull(), F.lit(0))
+        part = F.coalesce(part if up else F.lit(buckets - 1) - part, F.lit(buckets if up else -1))
+        counts = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("part")).count().collect())
+        upto, first, last, before = skipped, None, None, skipped
+        for k, n in counts:
+            if first is None and upto + n > page.offset:
+                first, before = k, upto
+            upto += n
+            last = k
+            if first is not None and upto >= page.offset + page.limit:
+                break
+        if first is None:
+            return df.limit(0)
+        skipped, held = before, upto - before
+        rows = rows.where(part.between(first, last))
+        if held <= most or len(counts) > 1 and held == held_before:
+            break
+        if len(counts) == 1:  # equal so far
+            if not one and (at + 1 == len(levels) or levels[at + 1][0] != name):
+                break  # but not the values themselves
+            at += 1
+        held_before = held
+    return rows.orderBy(*keys).offset(page.offset - skipped).limit(page.limit)
+
+
 def with_total(df: DataFrame, name: str = "total_items") -> DataFrame:
     """The filtered rows with their number. The count is an aggregate of its own, so the rows are read twice."""
     return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # one row

@@ -296,12 +296,13 @@ def tiktok_posts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'hood ' || c_custkey % 6 END AS found_neighborhood FROM customer"""
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 26 = 25 THEN '' ELSE 'hood ' || c_custkey % 26 END AS found_neighborhood FROM customer"""
 )
 def reverse_geocode(spark: SparkSession, d: str) -> DataFrame:
-    """Customers stand near one of five places; a sixth of them have no position."""
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 6 + 0.001).alias("latitude"), F.when(F.col("c_custkey") % 6 == 0, 0.0).otherwise(10.001).alias("longitude"))
-    hoods = read(spark, d, "nation").where("n_nationkey between 1 and 5").select((F.col("n_nationkey") + 0.0).alias("latitude"), F.lit(10.0).alias("longitude"), F.concat(F.lit("hood "), F.col("n_nationkey").cast("string")).alias("neighborhood"))
+    """Customers stand near one of the nations, each a place; some have no position."""
+    at = F.col("c_custkey") % 26
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(at < 25, at + 1.001).otherwise(0.0).alias("latitude"), F.when(at < 25, 10.001).otherwise(0.0).alias("longitude"))
+    hoods = read(spark, d, "nation").select((F.col("n_nationkey") + 1.0).alias("latitude"), F.lit(10.0).alias("longitude"), F.concat(F.lit("hood "), F.col("n_nationkey").cast("string")).alias("neighborhood"))
     return enrich.reverse_geocode(c, hoods.unionByName(hoods.withColumn("latitude", F.col("latitude") + 0.005).withColumn("neighborhood", F.concat(F.lit("far "), "neighborhood")))).select("id", "found_neighborhood")
 
 
@@ -348,12 +349,12 @@ def new_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT conv_id, turn, string_split(text, ' ')[1:2] AS t, CASE WHEN role = 'user' THEN role END AS s FROM conversations WHERE turn < 4)
+    """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS t, CASE WHEN role = 'user' THEN role END AS s FROM conversations WHERE turn < 4)
 SELECT conv_id, array_to_string(flatten(list(t ORDER BY turn)), '|') AS texts, coalesce(array_to_string(list(s ORDER BY turn) FILTER (s IS NOT NULL), chr(10) || chr(10)), '') AS transcript FROM w GROUP BY conv_id"""
 )
 def carousel_text(spark: SparkSession, d: str) -> DataFrame:
     """Turns as slides, of which the first four count."""
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 2).alias("texts"), F.when(F.col("role") == "user", F.col("role")).alias("said"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("texts"), F.when(F.col("role") == "user", F.col("role")).alias("said"))
     return frames.carousel_text(c, "conv_id", "turn", "texts", "said").select("conv_id", F.array_join("texts", "|").alias("texts"), "transcript")
 
 
