@@ -60,6 +60,6 @@ def test_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *QUERIES} <= names and len(QUERIES) == 10
+    assert {"pipeline", *QUERIES} <= names and len(QUERIES) == 13
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert langid.ORDER >= 3
