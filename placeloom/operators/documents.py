@@ -139,9 +139,8 @@ def write_index(docs: DataFrame, id_col: str, json_col: str, path: str, buckets:
     A bucket is dealt to ``salts`` tasks by document, so an entry that all documents have isn't one task's.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(json_col).cast("string").alias("text"))
-    bucket = F.pmod(F.col("entry"), F.lit(buckets)).cast("int").alias("bucket")
-    found = _with_entries(rows, "text", ["doc"]).distinct().select("entry", "doc", bucket)
-    dealt = found.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(salts)))
+    deal = [F.pmod(F.col("entry"), F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt")]
+    dealt = _with_entries(rows, "text", ["doc"]).select("entry", "doc", *deal).repartition("bucket", "salt").distinct().drop("salt")
     dealt.sortWithinPartitions("bucket", "entry", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
     counted = _postings(docs.sparkSession, path, docs, id_col).groupBy("bucket", "entry").agg(F.count("*").alias("docs"))
     counted.repartition("bucket").sortWithinPartitions("entry").write.partitionBy("bucket").parquet(f"{path}/frequencies")
