@@ -11,6 +11,7 @@ row of its own, with a null ``item``, and doesn't cost the elements. Null and bl
 text that isn't JSON (also NaN, or nested too deeply to be read) is one row with the violation ``: not JSON``.
 Of repeated keys the last counts. An integer may be written as 1.0; numbers beyond 64 bits and strings
 that aren't Unicode (half a surrogate pair) are violations. Answers are read one at a time and whole.
+Rows come back without Arrow, which makes a batch for each answer and took four times as long.
 """
 
 from __future__ import annotations
@@ -212,7 +213,7 @@ class Extract:
 
 def register(spark: SparkSession, name: str = "extract_items") -> None:
     """The table function for SQL: ``FROM posts, LATERAL extract_items(answer, '<schema>')``."""
-    spark.udtf.register(name, F.udtf(Extract, useArrow=True))
+    spark.udtf.register(name, F.udtf(Extract, useArrow=False))
 
 
 def extracted(posts: DataFrame, answer: str = "answer", schema: Json = PLACES, keep: list[str] | None = None, keep_empty: bool = False) -> DataFrame:
@@ -224,7 +225,7 @@ def extracted(posts: DataFrame, answer: str = "answer", schema: Json = PLACES, k
     own = [OWN[0], *_list_of(schema)[1]["properties"], OWN[1]]
     if clash := sorted(set(kept) & set(own)):
         raise ValueError(f"columns can't be named {clash}")
-    table = F.udtf(Extract, useArrow=True)
+    table = F.udtf(Extract, useArrow=False)
     asked = posts.select(*kept, F.col(answer).alias("__answer__"))
     return asked.lateralJoin(table(F.col("__answer__").outer(), F.lit(json.dumps(schema)), F.lit(keep_empty))).select(*kept, *own)
 

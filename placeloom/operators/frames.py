@@ -99,3 +99,9 @@ def carousel_text(slides: DataFrame, post: str, slide: str, texts: str, transcri
     empty = F.array().cast("array<string>")
     said = F.filter(F.transform("__rows__", lambda x: x["s"]), lambda v: v.isNotNull() & (v != ""))
     return got.select(post, F.flatten(F.transform("__rows__", lambda x: F.coalesce(x["t"], empty))).alias("texts"), F.array_join(said, "\n\n").alias("transcript"))
+
+
+def in_frame_order(results: DataFrame, video: str, index: str, text: str) -> DataFrame:
+    """``video, texts``: what was read of each video's frames, whatever order the results came in; frames of one index by their text, nulls left out."""
+    read = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col(index).alias("i"), F.col(text).alias("t")))))
+    return results.groupBy(video).agg(F.transform(read, lambda x: x["t"]).alias("texts"))

@@ -540,4 +540,4 @@ def geocode_gazetteer(spark: SparkSession, d: str) -> DataFrame:
     return enrich.geocode(p, n).select("id", "found_address", "found_latitude")
 
 
-from . import areas, audience, columns, documents, extraction, finding, rows, streams, video  # noqa: E402, F401  they register theirs
+from . import areas, audience, columns, crawls, documents, extraction, finding, rows, streams, video  # noqa: E402, F401  they register theirs

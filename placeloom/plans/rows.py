@@ -214,18 +214,26 @@ CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE o_orderstatus END AS author_use
 CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 END AS likes, o_orderkey % 13 AS views, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 4 AS DOUBLE) END AS video_duration, CASE WHEN o_orderkey % 2 = 1 THEN 9 END AS width, o_orderkey % 6 = 0 AS paid_partnership FROM orders"""
 )
 def instagram_posts(spark: SparkSession, d: str) -> DataFrame:
-    return _instagram(spark, d).select(
+    return post_columns(_instagram(spark, d))
+
+
+def post_columns(posts: DataFrame) -> DataFrame:
+    return posts.select(
         F.col("source_url").cast("long").alias("id"), "content_type", "content_id", "author_username", "caption", F.array_join("images", "|").alias("images"), F.col("metrics.likes").alias("likes"), F.col("metrics.views").alias("views"),
         "video_duration", F.col("dimensions.width").alias("width"), "paid_partnership",
     )
 
 
 def _instagram(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.instagram(instagram_documents(spark, d).select(F.from_json("doc", INSTAGRAM).alias("d")).select("d.*"))
+
+
+def instagram_documents(spark: SparkSession, d: str) -> DataFrame:
     """Orders as raw posts of one source: carousels, reels, pictures, hidden likes and missing fields, by their numbers."""
     key = F.col("o_orderkey")
     number = key.cast("string")
     kind = key % 5
-    raw = read(spark, d, "orders").select(
+    return read(spark, d, "orders").select(
         F.to_json(F.struct(
             F.when(key % 11 > 0, F.concat(F.lit("i"), number)).otherwise("").alias("id"), F.concat(F.lit("s"), number).alias("shortCode"), F.when(kind == 0, "Sidecar").when(kind == 1, "Video").otherwise("Image").alias("type"),
             F.when(kind.isin(1, 2), "v").when(kind == 0, "v").alias("videoUrl"), F.lit("pic").alias("displayUrl"), F.when(kind == 3, F.array(F.lit("x"))).alias("images"),
@@ -234,7 +242,6 @@ def _instagram(spark: SparkSession, d: str) -> DataFrame:
             (key % 4).cast("double").alias("videoDuration"), (key % 2 * 9).alias("dimensionsWidth"), F.lit(16).alias("dimensionsHeight"), F.when(key % 6 == 0, True).alias("paidPartnership"), number.alias("url"),
         )).alias("doc")
     )
-    return normalize.instagram(raw.select(F.from_json("doc", INSTAGRAM).alias("d")).select("d.*"))
 
 
 @query(

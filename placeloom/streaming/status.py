@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.mutate import latest
+
 #: Stages in order; a post never goes back. ``failed`` may come from any stage but the last.
 STAGES = ["pending", "scraping", "scraped", "processing", "processing:media", "processing:analysis", "completed"]
 FAILED = len(STAGES)
@@ -101,6 +103,20 @@ def merge_branches(posts: DataFrame, key: str, *branches: DataFrame) -> DataFram
     return posts
 
 
+def steps_shown(steps: DataFrame, post: str, step: str, *columns: str) -> DataFrame:
+    """``post, steps``: the steps of each post (one row a step, see ``mutate.upsert``) in the order of their numbers."""
+    return steps.groupBy(post).agg(F.array_sort(F.collect_list(F.struct(step, *columns))).alias("steps"))
+
+
+def latest_batches(folder: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """For ``apply_batches``: writes a micro-batch's last row of each key under its number, so a repeated batch replaces what it wrote before."""
+
+    def apply(rows: DataFrame, number: int) -> None:
+        latest(rows, keys, order).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return apply
+
+
 def apply_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Each micro-batch goes to ``apply(rows, number)``; the number lets it be skipped when repeated."""
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

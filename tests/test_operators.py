@@ -336,3 +336,10 @@ def test_services_see_each_key_once(spark):
     assert rows(got, "k") == [(None, 0, 1), ("aa", 2, 1), ("aa", 2, 1)]
     p = spark.createDataFrame([(1, ["@tashca.nyc", "@plain"], "fresh croissant", "me")], "id long, mentions array<string>, text string, author string")
     assert rows(enrich.places_by_rule(p)) == [(1, "Tashca", "New York", "Artisanal Bakery & Cafe", "@me", 0.5)]
+
+
+def test_texts_in_frame_order(spark):
+    rows = spark.createDataFrame([("v", 10, "c"), ("v", 2, "b"), ("v", 2, "a"), ("v", 1, None), ("w", None, "x"), ("u", 1, None), ("v", 2, "a")], "video string, frame int, text string")
+    got = {r["video"]: r["texts"] for r in frames.in_frame_order(rows, "video", "frame", "text").collect()}
+    assert got == {"v": ["a", "a", "b", "c"], "w": ["x"], "u": []}
+    assert frames.in_frame_order(rows.where("false"), "video", "frame", "text").count() == 0

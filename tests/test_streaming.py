@@ -116,3 +116,19 @@ def test_sources(spark, tmp_path):
     f = spark.createDataFrame([("audio/ogg", "a.b", 1), ("text/plain", "c.txt", 1)], "mime_type string, file_name string, size_bytes long").withColumn("created_at", F.timestamp_seconds(F.lit(2)))
     good, bad = sources.uploads(f)
     assert good.select(sources.storage_key()).first()[0] == "audios/2000-a.b" and bad.count() == 1
+
+
+def test_a_batch_written_twice_counts_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", None, 1), (None, "z", 3)], "post_id string, status string, at int")
+    apply = status.latest_batches(str(tmp_path / "out"), ["post_id"], ["at"])
+    for _ in range(2):
+        apply(rows, 7)
+    apply(rows.where("false"), 8)
+    got = spark.read.schema(rows.schema).parquet(str(tmp_path / "out")).drop("batch").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([("a", "y", 2), ("b", None, 1), (None, "z", 3)], key=repr)
+
+
+def test_steps_in_order(spark):
+    steps = spark.createDataFrame([("a", 2, "done"), ("a", 10, None), ("a", 1, "done"), ("b", None, "new")], "post string, step int, status string")
+    got = {r["post"]: [tuple(x) for x in r["steps"]] for r in status.steps_shown(steps, "post", "step", "status").collect()}
+    assert got == {"a": [(1, "done"), (2, "done"), (10, None)], "b": [(None, "new")]}
