@@ -3,19 +3,28 @@
 Tokens are runs of letters and digits in lower case. Stop words keep their place but aren't indexed;
 words of the letters a to z are stemmed by Porter's steps, with y a vowel but at the beginning. The
 postings of a term lie in one bucket, sorted, so a search reads the row groups of its terms only.
-Everything is column expressions; a query's words go through the same ones.
+Texts are split and queries evaluated by column expressions; the words of a document are stemmed and
+gathered in numpy, where a worker stems a word once, and only postings are shuffled, once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import STOP_WORDS
 
+_STOPS = frozenset(STOP_WORDS)
+#: Words that are gathered at once.
+BLOCK = 1 << 18
 #: What separates tokens.
 BREAK = r"[^\p{L}\p{N}]+"
 #: A stem that has a vowel and then a consonant once, and twice.
@@ -77,29 +86,84 @@ def stem(word: Column) -> Column:
     return F.when(word.rlike("^[a-z]{3,}$"), F.get(out, F.lit(0))).otherwise(word)
 
 
+@lru_cache(maxsize=1 << 17)
+def stem_word(word: str) -> str:
+    """The stem by the same steps, for words inside tasks."""
+    if not re.search("^[a-z]{3,}$", word):
+        return word
+    for step in STEPS:
+        for s in step:
+            found = re.search(s.pattern, word)
+            if found and not (s.unless and re.search(s.unless, word)):
+                word = found.group(1) + (s.put if isinstance(s.put, str) else s.put[found.group(2)])
+                break
+    return word
+
+
 def tokens(text: Column) -> Column:
     """Tokens in order."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda t: t != "")
 
 
+def _gathered(docs: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
+    """``term, doc, positions`` of each document's words."""
+    lengths = np.diff(np.asarray(words.offsets))
+    spread = words.flatten().dictionary_encode()
+    unique = spread.dictionary.to_pylist()
+    terms = {t: k for k, t in enumerate(dict.fromkeys(stem_word(w) for w in unique if w not in _STOPS))}
+    number = np.array([-1 if w in _STOPS else terms[stem_word(w)] for w in unique], dtype=np.int64)[spread.indices.to_numpy()]
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key, at = (row * max(len(terms), 1) + number)[number >= 0], at[number >= 0]
+    order = np.argsort(key, kind="stable")  # a word's places stay in order
+    key = key[order]
+    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    of, term = np.divmod(key[begins], max(len(terms), 1))
+    places = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(key)].astype(np.int32)), pa.array(at[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()).take(pa.array(term)), docs.take(pa.array(of)), places], ["term", "doc", "positions"])
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of some documents, a long one alone, so that what is held follows the longest text."""
+    for batch in batches:
+        upto = np.asarray(batch.column(1).offsets)
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + BLOCK, "right")) - 1)
+            part = batch.slice(begin, end - begin)
+            yield _gathered(part.column(0), pa.ListArray.from_arrays(pa.array(upto[begin : end + 1] - upto[begin]), batch.column(1).values.slice(upto[begin], upto[end] - upto[begin])))
+            begin = end
+
+
+def spread(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``term, doc, positions`` of each row, without a shuffle; rows of one id aren't one document yet."""
+    rows = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text)).alias("words"))
+    kind = T.StructType([T.StructField("term", T.StringType()), rows.schema["doc"], T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(_told, kind)
+
+
+def _merged(found: DataFrame, *keys: str) -> DataFrame:
+    return found.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+
+
 def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``term, doc, positions`` (sorted, from 0). Null and empty texts have none, rows of one id count as one document, a null id is one."""
-    words = docs.select(F.col(id_col).alias("doc"), F.posexplode(tokens(F.col(text))).alias("at", "word")).where(~F.col("word").isin(STOP_WORDS))
-    each = words.groupBy("doc", "word").agg(F.collect_set("at").alias("at"))  # a word is stemmed once a document
-    return each.groupBy(stem(F.col("word")).alias("term"), "doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("positions"))
+    return _merged(spread(docs, id_col, text), "term", "doc")
 
 
 def write_postings(found: DataFrame, path: str, buckets: int = 64, salts: int = 8) -> None:
-    """Postings by bucket of the term's hash, sorted by term; a bucket is dealt to ``salts`` tasks, so a frequent term isn't one task's."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    rows = found.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(salts)))
+    """What ``spread`` gave by bucket of the term's hash, sorted by term, rows of one id as one document.
+
+    A bucket is dealt to ``salts`` tasks by document, so a frequent term isn't one task's.
+    """
+    deal = [F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int").alias("salt")]
+    dealt = found.select("*", *deal).repartition("bucket", "salt")
+    rows = _merged(dealt, "bucket", "salt", "term", "doc").select("term", "doc", "positions", "bucket")
     rows.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(path)
 
 
 def _lists(texts: Sequence[str]) -> list[str]:
     """The words of query texts in order, without stop words."""
-    import re
-
     return [w for t in texts for w in re.split(r"[\W_]+", t.lower()) if w and w not in STOP_WORDS]
 
 
@@ -123,8 +187,6 @@ def search(spark: SparkSession, path: str, asked: Query, documents: int, buckets
     The rank sums over the words that should be there ln(1 + documents / documents with it) * f / (f + 1), f times met.
     A query needs a word, a part or a phrase that must be there, else ValueError; query words that are stop words count as met.
     """
-    import re
-
     must, some, none = (list(dict.fromkeys(_lists(x))) for x in (asked.all_of, asked.any_of, asked.none_of))
     phrases = [[(k, w) for k, w in enumerate(x for x in re.split(r"[\W_]+", p.lower()) if x) if w not in STOP_WORDS] for p in asked.phrases]
     phrases = [p for p in phrases if p]

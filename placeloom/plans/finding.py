@@ -55,7 +55,7 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
     """Documents with one of two words and without a third, ranked."""
     docs = read(spark, d, "documents")
     folder = sources.scratch_folder(spark, "postings")
-    search.write_postings(search.postings(docs, "doc_id", "text"), folder)
+    search.write_postings(search.spread(docs, "doc_id", "text"), folder)
     found = search.search(spark, folder, search.Query(any_of=["th", "thing"], none_of=["ouing"]), docs.count())
     return found.select("doc", F.round("rank", 6).alias("rank"))
 
@@ -70,7 +70,7 @@ def text_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a phrase, two words with a stop word between them, and with another word."""
     docs = read(spark, d, "documents")
     folder = sources.scratch_folder(spark, "phrases")
-    search.write_postings(search.postings(docs, "doc_id", "text"), folder)
+    search.write_postings(search.spread(docs, "doc_id", "text"), folder)
     return search.search(spark, folder, search.Query(all_of=["re"], phrases=["er the ed"]), docs.count()).select("doc")
 
 

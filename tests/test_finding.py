@@ -23,6 +23,7 @@ DOCS = {1: "The cats of Rome were running home", 2: "Running cats, running dogs!
 
 def test_stems(spark):
     rows = spark.createDataFrame([(w,) for w in STEMS], "w string").select("w", search.stem(F.col("w")).alias("s")).collect()
+    assert all(search.stem_word(r["w"]) == r["s"] for r in rows)
     assert {r["w"]: r["s"] for r in rows} == STEMS
 
 
@@ -30,7 +31,7 @@ def test_stems(spark):
 def index(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("search") / "postings")
     docs = spark.createDataFrame(list(DOCS.items()), "id long, text string")
-    search.write_postings(search.postings(docs, "id", "text"), path, buckets=8, salts=2)
+    search.write_postings(search.spread(docs, "id", "text"), path, buckets=8, salts=2)
     return path
 
 
@@ -87,3 +88,26 @@ def test_a_deep_page_sorts_few_rows(spark):
     assert [r["k"] for r in page.collect()] == [r["k"] for r in df.orderBy("k").offset(89_990).limit(10).collect()]
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_blocks_and_repeated_ids(spark, monkeypatch):
+    import re
+
+    rows = [(1, "cat dog cat"), (1, "dog cats the"), (2, None), (None, "Dogs dog"), (3, "the of"), (4, " ".join(f"word{k % 50}x" for k in range(500))), (5, "")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    want: dict = {}
+    for doc, text in rows:
+        for k, w in enumerate(x for x in re.split(r"[\W_]+", (text or "").lower()) if x):
+            if w not in search.STOP_WORDS:
+                want.setdefault((search.stem_word(w), doc), set()).add(k)
+    got = {(r["term"], r["doc"]): r["positions"] for r in search.postings(docs, "id", "text").collect()}
+    assert got == {k: sorted(v) for k, v in want.items()}
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "BLOCK", 3)
+    words = [re.split(r"\W+", t) if t else [] for _, t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int32()), pa.array(words, pa.list_(pa.string()))], ["doc", "words"])
+    cut = [r for b in search._told(iter([batch.slice(0, 0), batch, batch.slice(3)])) for r in b.to_pylist()]
+    whole = [r for b in (search._gathered(batch.column(0), batch.column(1)), search._gathered(batch.slice(3).column(0), pa.array(words[3:], pa.list_(pa.string())))) for r in b.to_pylist()]
+    of = lambda rs: sorted(((r["term"], r["doc"], r["positions"]) for r in rs), key=repr)
+    assert of(cut) == of(whole)
