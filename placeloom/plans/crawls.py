@@ -57,7 +57,7 @@ def upload_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, array_to_string(list(text ORDER BY turn, text), '|') AS texts FROM conversations GROUP BY conv_id")
 def texts_in_frame_order(spark: SparkSession, d: str) -> DataFrame:
     """Turns as results of frames, which come back out of order."""
-    came = read(spark, d, "conversations").repartition(F.crc32("text"))
+    came = read(spark, d, "conversations").repartition(F.xxhash64("conv_id", "turn", "text"))
     return frames.in_frame_order(came, "conv_id", "turn", "text").select("conv_id", F.array_join("texts", "|").alias("texts"))
 
 
