@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or more), that of the least id.
 
-    Candidates come from MinHash bands, not from fingerprints: pairs that similar lie 5 to 17 of 64 bits apart (README).
+    Candidates are fingerprints that three bits link and, as most pairs that similar lie 5 to 17 of 64 bits apart (README), what MinHash bands add.
     """
     return simhash.keep_one(docs.select(*COLUMNS), similarity=0.8, shingle=5).select(*COLUMNS)
 

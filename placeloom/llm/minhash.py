@@ -1,4 +1,4 @@
-"""Groups for ``simhash.keep_one`` beyond the reach of fingerprints: exact Jaccard similarity of word shingles, with candidates from MinHash bands.
+"""Groups for ``simhash.keep_one`` with a similarity: exact Jaccard similarity of word shingles, with candidates from fingerprints and, beyond their reach, from MinHash bands.
 
 A text is the set of its shingles of five words (a shorter text is one shingle). Texts of equal sets
 are one node. Nodes that agree in all minima of a band are candidates: at a similarity of 0.8 a pair
@@ -7,6 +7,9 @@ the limit are linked. First each candidate is compared with the first set of its
 group of near copies costs a comparison a copy; only candidates that differ from it are then compared
 with the others of their group, in blocks that tasks of their own take in pairs.
 
+SimHash comes first: sets whose fingerprints ``simhash.links`` joins within ``limit`` bits are candidates
+too, compared exactly pair by pair. Bands add what lies further apart.
+
 Null and word-less texts are one node. A very long text is compared whole; memory follows its
 length, some 60 bytes a byte. Repeated rows keep their rows. Extra columns are ignored. An empty
 table gives an empty result.
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bitmap, blocks, mix64, small, span_hashes, stored, utf8
 from .components import components
 
@@ -128,8 +132,21 @@ def _forest(sets: list[np.ndarray], least: float, joined: list[bool]) -> list[tu
     return out
 
 
-def _links(docs: DataFrame, groups: DataFrame, least: float, shingle: int, block_shingles: int, block_rows: int) -> DataFrame:
-    """``(a, b)``: links between sets of the same group; ``groups`` has each candidate's ``set_key`` and ``group``."""
+def fingerprint_pairs(sets: DataFrame, limit: int) -> DataFrame:
+    """``(a, b)``: candidates among sets (``set_key, fp``), those of one fingerprint and those that SimHash links within ``limit`` bits."""
+    sets = stored(sets.distinct(), "set-fingerprints")
+    nodes = stored(sets.groupBy("fp").agg(F.min("set_key").alias("first")), "set-nodes")
+    same = sets.join(small(nodes), "fp").select(F.col("set_key").alias("a"), F.col("first").alias("b"))
+    linked = stored(simhash.links(nodes, limit), "fingerprint-links")
+    near = linked.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return stored(same.unionByName(near).where("a <> b").distinct(), "fingerprint-pairs")
+
+
+def _links(docs: DataFrame, groups: DataFrame, pairs: DataFrame, least: float, shingle: int, block_shingles: int, block_rows: int) -> DataFrame:
+    """``(a, b)``: links between sets of the same group and of ``pairs``; ``groups`` has each candidate's ``set_key`` and ``group``."""
+    paired = stored(pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct(), "paired-sets")
+    alone = paired.join(groups.select("set_key"), "set_key", "left_anti").select("set_key", F.col("set_key").alias("group"))
+    groups = stored(groups.unionByName(alone), "candidates")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(groups, "set_key", groups.count(), FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +169,9 @@ def _links(docs: DataFrame, groups: DataFrame, least: float, shingle: int, block
     like = common >= F.lit(least) * (F.col("n") + F.col("first_n") - common)
     checked = stored(rows.join(first, "group").select("set_key", "group", "n", like.alias("like")), "checked-sets")
     star = checked.where("like and set_key <> `group`").select(F.col("set_key").alias("a"), F.col("group").alias("b"))
+    ends = stored(rows.join(small(paired), "set_key").groupBy("set_key").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "paired-grams")
+    met = pairs.join(ends.withColumnRenamed("set_key", "a"), "a").join(ends.toDF("b", "first_n", "first_grams"), "b")
+    star = star.unionByName(met.where(like).select("a", "b"))
 
     # groups with sets that are unlike their first: each of these meets all others, in blocks of like (side 0) and unlike sets (side 1)
     cut = lambda own: F.greatest(F.ceil(F.sum(F.when(own, F.col("n"))) / block_shingles), F.ceil(F.count_if(own) / block_rows)).cast("int")
@@ -192,23 +212,27 @@ def _links(docs: DataFrame, groups: DataFrame, least: float, shingle: int, block
     return star.unionByName(dealt.mapInArrow(run, "a long, b long"))
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS, limit: int = 3) -> DataFrame:
     """Per row of ``docs``: the id, ``text_hash`` (Spark's xxhash64 of the text) and ``root``, one for all texts that chains of similar pairs join."""
     texts = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = dict(texts.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            keys, bounds = shingle_sets(*utf8(batch.column(2)), shingle)
+            data, offsets = utf8(batch.column(2))
+            raw, at = data.tobytes(), offsets.tolist()
+            fps = np.array([simhash.fingerprint(raw[a:b], shingle) for a, b in zip(at, at[1:])], np.uint64)
+            keys, bounds = shingle_sets(data, offsets, shingle)
             own, filled = set_keys(keys, bounds), bounds[1:] > bounds[:-1]
             flat = bands(keys, np.r_[bounds[:-1][filled], len(keys)]).ravel().view(np.int64)
             listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(filled * BANDS)].astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.view(np.int64)), listed], [id_col, "text_hash", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.view(np.int64)), pa.array(fps.view(np.int64)), listed], [id_col, "text_hash", "set_key", "fp", "bands"])
 
-    marked = stored(texts.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, set_key long, bands array<long>"), "sets")
+    marked = stored(texts.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, set_key long, fp long, bands array<long>"), "sets")
+    pairs = fingerprint_pairs(marked.where("size(bands) > 0").select("set_key", "fp"), limit)
     rows = marked.select("set_key", F.explode("bands").alias("band"))
     shared = stored(rows.groupBy("band").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).where("first < last").select("band", "first"), "shared-bands")
     tied = components(rows.join(small(shared), "band").select("set_key", "first"), "set_key", "first")
     groups = stored(tied.select(F.col("u").alias("set_key"), F.col("v").alias("group")).unionByName(tied.select(F.col("v").alias("set_key"), F.col("v").alias("group")).distinct()), "groups")
-    roots = components(_links(texts, groups, least, shingle, block_shingles, block_rows), "a", "b").select(F.col("u").alias("set_key"), F.col("v").alias("root"))
+    roots = components(_links(texts, groups, pairs, least, shingle, block_shingles, block_rows), "a", "b").select(F.col("u").alias("set_key"), F.col("v").alias("root"))
     return marked.select(id_col, "text_hash", "set_key").join(small(roots), "set_key", "left").select(id_col, "text_hash", F.coalesce("root", "set_key").alias("root"))

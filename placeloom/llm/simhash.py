@@ -252,14 +252,14 @@ def keep_one(docs: DataFrame, limit: int = 3, id_col: str = "doc_id", text: str
     """One row of ``docs`` per group, all columns: that of the least id (of repeated ids, the least text hash; of repeated rows, any).
 
     Groups are what ``limit`` bits of the fingerprints link. With ``similarity`` they are what that Jaccard similarity of the
-    sets of shingles links, by exact comparison: at 0.8 such texts lie up to 17 bits apart, which no partition of 64 bits can
-    be probed for, so the candidates come from ``minhash``.
+    sets of shingles links, by exact comparison: candidates are what ``limit`` bits link and, as at 0.8 such texts lie up to 17
+    bits apart, which no partition of 64 bits can be probed for, what ``minhash`` adds.
     """
     if similarity is None:
         return keep_of_groups(docs, near_duplicates(docs, limit, id_col, text, shingle), id_col, text)
     from .minhash import near_groups
 
-    return keep_of_groups(docs, near_groups(docs, similarity, shingle, id_col, text), id_col, text)
+    return keep_of_groups(docs, near_groups(docs, similarity, shingle, id_col, text, limit=limit), id_col, text)
 
 
 def keep_of_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

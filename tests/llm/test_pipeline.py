@@ -63,3 +63,16 @@ def test_registered():
     assert {"pipeline", *QUERIES} <= names and len(QUERIES) == 13
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert langid.ORDER >= 3
+
+
+def test_near_dedup_takes_candidates_by_simhash(spark, monkeypatch):
+    """Fingerprints are linked in the stage itself, and their pairs hold texts that differ by a word."""
+    from placeloom.llm import minhash
+
+    found, original = [], minhash.fingerprint_pairs
+    monkeypatch.setattr(minhash, "fingerprint_pairs", lambda *a: found.append(original(*a)) or found[-1])
+    words = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), "quite another text of some words", "", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3] and [p.count() for p in found] == [1]
