@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 import pytest
 
 from placeloom.plans.video import box, esds, movie
@@ -75,3 +76,18 @@ def test_long_tracks_come_in_pieces_and_broken_ones_do_not(spark, tmp_path):
     parts = sorted((r["piece"], r["content"]) for r in rows if r["path"].endswith("long.mp4"))
     assert [len(c) for _, c in parts] == [video.PIECE, video.PIECE, 10_000_000 - 2 * video.PIECE] and b"".join(c for _, c in parts) == b"".join(frames)
     assert [(r["codec"], r["content"]) for r in rows if not r["path"].endswith("long.mp4")] == [(None, None)] * 2
+
+
+def test_many_small_files_take_few_tasks_and_batches(spark, sf_dir, tmp_path):
+    """What tasks wrote isn't listed, where each small file counts as 4 MB of a scan; tracks share a batch."""
+    from placeloom.plans import video as plans
+
+    files = plans._files(spark, sf_dir)
+    paths = [r["path"] for r in files.collect()]
+    assert len(paths) == spark.read.parquet(f"{sf_dir}/part.parquet").count() and files.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(files), "mapInArrow", lambda self, run, schema: seen.append(run) or self)
+        video.sound(files)
+    batches = list(seen[0]([pa.RecordBatch.from_pydict({"path": paths})]))
+    assert len(batches) == 1 and len(paths) == batches[0].num_rows
