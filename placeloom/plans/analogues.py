@@ -38,11 +38,14 @@ SAVED_SQL = "SELECT o_custkey AS user_id, l_partkey AS place_id, max(o_orderdate
 
 
 def sharing(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Orders as lists (finished ones are public), suppliers of their lines as collaborators, lines as listed places."""
+    """Orders as lists (finished ones are public), suppliers of their lines as collaborators, lines as listed places.
+
+    Both are dealt by list, so that what follows by list or by row needs no shuffle of its own.
+    """
     o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     lists = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("title"), (F.col("o_orderstatus") == "F").alias("is_public"), F.col("o_orderdate").alias("created_at"))
-    helpers = li.select(F.col("l_orderkey").alias("list_id"), F.col("l_suppkey").alias("user_id"), F.when(F.col("l_returnflag") == "R", "editor").otherwise("viewer").alias("role")).distinct()
-    listed = li.select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("place_id")).distinct()
+    helpers = li.select(F.col("l_orderkey").alias("list_id"), F.col("l_suppkey").alias("user_id"), F.when(F.col("l_returnflag") == "R", "editor").otherwise("viewer").alias("role")).repartition("list_id").distinct()
+    listed = li.select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("place_id")).repartition("list_id").distinct()
     guides = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("slug"), (F.col("o_orderstatus") == "O").alias("is_published"))
     return {"lists": lists, "list_collaborators": helpers, "list_places": listed, "guides": guides}
 
