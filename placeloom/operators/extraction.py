@@ -150,36 +150,42 @@ class Shape(AnalyzeResult):
 
     asked: Json = field(default_factory=dict)
     keep_empty: bool = False
+    refuse: bool = False
 
 
 class Extract:
-    """``extract(answer, schema, keep_empty)``: see the module.
+    """``extract(answer, schema, keep_empty, refuse)``: see the module. With ``refuse`` an answer with a violation has no rows.
 
     With ``keep_empty`` an answer without rows has one of nulls without violations; a left lateral join
     would drop it, as Spark 4.1 runs Python's table functions as inner joins.
     """
 
     def __init__(self, shape: Shape):
-        self.asked, self.keep_empty = shape.asked, shape.keep_empty
+        self.asked, self.keep_empty, self.refuse = shape.asked, shape.keep_empty, shape.refuse
         self.name, self.element = _list_of(shape.asked)
         self.columns = list(self.element["properties"])
 
     @staticmethod
-    def analyze(answer: AnalyzeArgument, schema: AnalyzeArgument, keep_empty: AnalyzeArgument | None = None) -> Shape:
+    def analyze(answer: AnalyzeArgument, schema: AnalyzeArgument, keep_empty: AnalyzeArgument | None = None, refuse: AnalyzeArgument | None = None) -> Shape:
         if not isinstance(answer.dataType, T.StringType):
             raise ValueError("the answer must be a string")
         if not schema.isConstantExpression or not isinstance(schema.value, str):
             raise ValueError("the schema must be a constant string")
         if keep_empty is not None and not isinstance(keep_empty.value, bool):
             raise ValueError("keep_empty must be a constant boolean")
+        if refuse is not None and not isinstance(refuse.value, bool):
+            raise ValueError("refuse must be a constant boolean")
         asked = json.loads(schema.value)
         columns = [T.StructField(k, data_type(v)) for k, v in _list_of(asked)[1]["properties"].items()]
         kind = T.StructType([T.StructField("item", T.IntegerType()), *columns, T.StructField("violations", T.ArrayType(T.StringType()))])
-        return Shape(schema=kind, asked=asked, keep_empty=keep_empty is not None and keep_empty.value)
-
-    def eval(self, answer: str, schema: str, keep_empty: bool = False) -> Iterator[tuple]:
-        rows = 0
-        for row in self._rows(answer) if answer is not None and answer.strip() else ():
+        return Shape(schema=kind, asked=asked, keep_empty=keep_empty is not None and keep_empty.value, refuse=refuse is not None and refuse.value)
+
+    def eval(self, answer: str, schema: str, keep_empty: bool = False, refuse: bool = False) -> Iterator[tuple]:
+        rows, told = 0, self._rows(answer) if answer is not None and answer.strip() else ()
+        if self.refuse:
+            told = list(told)
+            told = () if any(row[-1] for row in told) else told
+        for row in told:
             rows += 1
             yield row
         if self.keep_empty and not rows:
@@ -216,9 +222,11 @@ def register(spark: SparkSession, name: str = "extract_items") -> None:
     spark.udtf.register(name, F.udtf(Extract, useArrow=False))
 
 
-def extracted(posts: DataFrame, answer: str = "answer", schema: Json = PLACES, keep: list[str] | None = None, keep_empty: bool = False) -> DataFrame:
+def extracted(posts: DataFrame, answer: str = "answer", schema: Json = PLACES, keep: list[str] | None = None, keep_empty: bool = False, refuse: bool = False) -> DataFrame:
     """``keep`` (all but the answer) of each post with the rows of its answer; ``keep_empty`` keeps posts whose answer has none, with nulls.
 
+    With ``refuse`` one fault refuses its whole answer, in the task that reads it; ``strict`` does so for all answers of a key.
+
     A column to keep that is named as one of the rows' own raises ValueError.
     """
     kept = [c for c in posts.columns if c != answer] if keep is None else keep
@@ -227,7 +235,7 @@ def extracted(posts: DataFrame, answer: str = "answer", schema: Json = PLACES, k
         raise ValueError(f"columns can't be named {clash}")
     table = F.udtf(Extract, useArrow=False)
     asked = posts.select(*kept, F.col(answer).alias("__answer__"))
-    return asked.lateralJoin(table(F.col("__answer__").outer(), F.lit(json.dumps(schema)), F.lit(keep_empty))).select(*kept, *own)
+    return asked.lateralJoin(table(F.col("__answer__").outer(), F.lit(json.dumps(schema)), F.lit(keep_empty), F.lit(refuse))).select(*kept, *own)
 
 
 def strict(rows: DataFrame, key: str) -> DataFrame:

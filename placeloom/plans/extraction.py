@@ -48,4 +48,4 @@ def extracted_places(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_SQL} SELECT {', '.join(_COLUMNS)} FROM rows WHERE o_orderkey NOT IN (SELECT o_orderkey FROM told WHERE violations <> '')")
 def extracted_places_strict(spark: SparkSession, d: str) -> DataFrame:
     """Places of answers that are as the schema has them throughout."""
-    return extraction.strict(extraction.extracted(_answers(spark, d)), "o_orderkey").select(*_COLUMNS)
+    return extraction.extracted(_answers(spark, d), refuse=True).select(*_COLUMNS)

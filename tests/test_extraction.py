@@ -116,3 +116,15 @@ def test_what_the_schema_must_be(spark, posts):
     posts.createOrReplaceTempView("posts_of_cases")
     with pytest.raises(AnalysisException, match="constant"):
         spark.sql("SELECT * FROM posts_of_cases, LATERAL extract_items(answer, answer)").collect()
+
+
+def test_strict_answers_are_read_once(spark):
+    """A fault refuses its answer where it is read, with the rows that ``strict`` leaves of answers of different keys."""
+    import json
+
+    good = {k: "x" for k in ("name", "city", "neighborhood", "address", "category", "description", "creator_handle")} | {"confidence": 1}
+    answers = [{"places": [good, good]}, {"places": [good, good | {"city": 1}]}, {"places": [good], "mood": 1}, {"places": []}]
+    posts = spark.createDataFrame([*enumerate(map(json.dumps, answers)), (4, "{"), (5, None)], "id int, answer string")
+    got = extraction.extracted(posts, refuse=True)
+    assert sorted((r["id"], r["item"]) for r in got.collect()) == [(0, 0), (0, 1)]
+    assert sorted(got.drop("violations").collect()) == sorted(extraction.strict(extraction.extracted(posts), "id").collect())
