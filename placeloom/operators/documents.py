@@ -17,10 +17,11 @@ an id. Empty tables have no matches.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +29,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Levels of nesting, bytes of JSON that are told at once.
-DEPTH, BLOCK = 400, 1 << 20
+DEPTH, BLOCK = 400, 1 << 21
+#: Rows that are taken out of Arrow at once; how many keys and values a worker remembers, and how long these may be.
+ROWS, KEPT, SHORT = 64, 1 << 16, 64
 _NOTHING = object()
 
 
-def _number(text: str) -> tuple[int, str, int]:
+def _whole(text: str) -> tuple[int, str, int]:
     """A number by value: sign, digits without zeros at the ends, exponent."""
+    digits = text.removeprefix("-")
+    kept = digits.rstrip("0")
+    return (len(text) - len(digits), kept, len(digits) - len(kept)) if kept else (0, "", 0)
+
+
+def _number(text: str) -> tuple[int, str, int]:
+    """The same of a number with a fraction or an exponent."""
     sign, digits, exponent = Decimal(text).as_tuple()
     all_digits = "".join(map(str, digits)).lstrip("0")
     kept = all_digits.rstrip("0")
@@ -44,14 +54,19 @@ def _refused(text: str) -> Any:
     raise ValueError(text)
 
 
+_DECODER = json.JSONDecoder(parse_int=_whole, parse_float=_number, parse_constant=_refused)
+
+
 def parsed(text: str | None) -> Any:
     """Values with numbers as tuples, or ``_NOTHING``."""
     if text is None:
         return _NOTHING
     try:
-        value = json.loads(text, parse_int=_number, parse_float=_number, parse_constant=_refused)
+        value = _DECODER.decode(text)
     except (ValueError, InvalidOperation, RecursionError):
         return _NOTHING
+    if text.count("{") + text.count("[") <= DEPTH:  # too few to be nested deeper
+        return value
     level, depth = [value], 0
     while level:
         level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
@@ -80,52 +95,103 @@ def holds(held: Any, asked: Any, top: bool = True) -> bool:
     return type(held) is type(asked) and held == asked
 
 
+class _Place:
+    """Where keys lead: its hash, the places below it and the entries there, of which a worker remembers some."""
+
+    __slots__ = ("path", "below", "plain", "object", "array")
+    kept = 0
+    top: _Place
+
+    def __init__(self, path: int) -> None:
+        self.path, self.below, self.plain = path, {}, {}
+        self.object, self.array = self._hashed(b"o"), self._hashed(b"a")
+
+    def _hashed(self, what: bytes) -> int:
+        found = xxhash.xxh64_intdigest(what, self.path)
+        return found - (1 << 64) if found >> 63 else found
+
+    def at(self, key: str) -> _Place:
+        """The place below that a key leads to."""
+        made = _Place(xxhash.xxh64_intdigest(b"k" + key.encode("utf-8", "surrogatepass"), self.path))
+        if len(key) <= SHORT:
+            self.below[key] = made
+            _Place.kept += 1
+        return made
+
+    def entry(self, v: Any) -> int:
+        """The entry of a plain value."""
+        found = self._hashed(b"s" + v.encode("utf-8", "surrogatepass") if isinstance(v, str) else repr(v).encode())
+        if not isinstance(v, (str, tuple)) or len(v if isinstance(v, str) else v[1]) <= SHORT:
+            self.plain[v] = found
+            _Place.kept += 1
+        return found
+
+
+_Place.top = _Place(0)
+
+
 def entries(value: Any) -> set[int]:
     """Hashes of a parsed value's paths with what lies there, as signed 64-bit integers."""
-    out, left = set(), [(0, value)] if value is not _NOTHING else []
+    if _Place.kept > KEPT:
+        _Place.top, _Place.kept = _Place(0), 0
+    out: set[int] = set()
+    places, left = ([_Place.top], [value]) if value is not _NOTHING else ([], [])
     while left:
-        path, v = left.pop()
-        if isinstance(v, dict):
-            what = b"o"
-            left += [(xxhash.xxh64_intdigest(b"k" + k.encode("utf-8", "surrogatepass"), path), x) for k, x in v.items()]
-        elif isinstance(v, list):
-            what = b"a"
-            left += [(path, x) for x in v]
+        place, v = places.pop(), left.pop()
+        kind = type(v)
+        if kind is dict:
+            out.add(place.object)
+            places += [place.below.get(k) or place.at(k) for k in v]
+            left += v.values()
+        elif kind is list:
+            out.add(place.array)
+            places += [place] * len(v)
+            left += v
         else:
-            what = b"s" + v.encode("utf-8", "surrogatepass") if isinstance(v, str) else repr(v).encode()
-        found = xxhash.xxh64_intdigest(what, path)
-        out.add(found - (1 << 64) if found >> 63 else found)
+            out.add(place.plain.get(v) or place.entry(v))
     return out
 
 
-def _spread(text: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows with the JSON in column ``text`` as rows with an entry each, the last column."""
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """The values of a column, some at a time."""
+    for begin in range(0, len(column), ROWS):
+        yield from column.slice(begin, ROWS).to_pylist()
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found, size = [], [], 0
-            for k, doc in enumerate(batch.column(text)):
-                for entry in sorted(entries(parsed(doc.as_py()))):
-                    rows.append(k)
-                    found.append(entry)
-                size = size + len(doc.as_py() or "")
-                if size > BLOCK or k == batch.num_rows - 1:
-                    kept = batch.take(pa.array(rows, pa.int64()))
-                    columns = [kept.column(n) for n in schema.names[:-1]]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int64())], names=schema.names)
-                    rows, found, size = [], [], 0
 
-    return told
+def _told(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers with an entry each, some documents at a time."""
+    begin, counts, found, size = 0, [], [], 0
+    for k, doc in enumerate(_texts(texts)):
+        of = entries(parsed(doc))
+        counts.append(len(of))
+        found.extend(of)
+        size += len(doc or "")
+        if size > BLOCK or k == len(texts) - 1:
+            yield np.repeat(np.arange(begin, k + 1), counts), np.array(found, np.int64)
+            begin, counts, found, size = k + 1, [], [], 0
 
 
-def _with_entries(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("entry", T.LongType())])
-    names = pa.schema([pa.field(f.name, pa.null()) for f in schema.fields])
-    return rows.mapInArrow(_spread(rows.columns.index(text), names), schema)
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Patterns ``pattern, asked`` as rows with an entry each."""
+    for batch in batches:
+        for rows, found in _told(batch.column(1)):
+            kept = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(found)], names=["pattern", "asked", "entry"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents ``doc, text`` as entries with the documents of a block that have them, so what all have is a row a block."""
+    for batch in batches:
+        for rows, found in _told(batch.column(1)):
+            order = np.argsort(found, kind="stable")
+            found = found[order]
+            begins = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
+            held = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(found)].astype(np.int32)), batch.column(0).take(pa.array(rows[order])))
+            yield pa.RecordBatch.from_arrays([pa.array(found[begins]), held], names=["entry", "held"])
 
 
 def _postings(spark: SparkSession, path: str, docs: DataFrame, id_col: str) -> DataFrame:
-    kind = T.StructType([T.StructField("entry", T.LongType()), T.StructField("doc", docs.schema[id_col].dataType), T.StructField("bucket", T.IntegerType())])
+    kind = T.StructType([T.StructField("entry", T.LongType()), T.StructField("held", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("bucket", T.IntegerType())])
     return spark.read.schema(kind).parquet(f"{path}/postings")
 
 
@@ -133,16 +199,18 @@ def _frequencies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("entry long, docs long, bucket int").parquet(f"{path}/frequencies")
 
 
-def write_index(docs: DataFrame, id_col: str, json_col: str, path: str, buckets: int = 64, salts: int = 64) -> None:
-    """Postings ``entry, doc`` by bucket of the entry, sorted, under ``path``, and how many documents have an entry.
+def write_index(docs: DataFrame, id_col: str, json_col: str, path: str, buckets: int = 64, salts: int = 8) -> None:
+    """Postings ``entry, doc`` by bucket of the entry, sorted, under ``path``, and how many rows have an entry.
 
-    A bucket is dealt to ``salts`` tasks by document, so an entry that all documents have isn't one task's.
+    A row of the postings has the documents of one block. A bucket is dealt to ``salts`` tasks by block, so an entry that all
+    documents have isn't one task's. Rows of one id repeat an entry, which readers allow for.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(json_col).cast("string").alias("text"))
-    deal = [F.pmod(F.col("entry"), F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt")]
-    dealt = _with_entries(rows, "text", ["doc"]).select("entry", "doc", *deal).repartition("bucket", "salt").distinct().drop("salt")
-    dealt.sortWithinPartitions("bucket", "entry", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
-    counted = _postings(docs.sparkSession, path, docs, id_col).groupBy("bucket", "entry").agg(F.count("*").alias("docs"))
+    kind = T.StructType([T.StructField("entry", T.LongType()), T.StructField("held", T.ArrayType(rows.schema["doc"].dataType))])
+    deal = [F.pmod(F.col("entry"), F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64(F.get("held", F.lit(0))), F.lit(salts)).alias("salt")]
+    dealt = rows.mapInArrow(_gathered, kind).select("entry", "held", *deal).repartition("bucket", "salt").drop("salt")
+    dealt.sortWithinPartitions("bucket", "entry").write.partitionBy("bucket").parquet(f"{path}/postings")
+    counted = _postings(docs.sparkSession, path, docs, id_col).groupBy("bucket", "entry").agg(F.sum(F.size("held")).alias("docs"))
     counted.repartition("bucket").sortWithinPartitions("entry").write.partitionBy("bucket").parquet(f"{path}/frequencies")
 
 
@@ -156,7 +224,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return seen[side][1]
 
     for batch in batches:
-        good = [_holds(value("text", t.as_py()), value("asked", a.as_py())) for a, t in zip(batch.column("asked"), batch.column("text"))]
+        good = [_holds(value("text", t), value("asked", a)) for a, t in zip(_texts(batch.column("asked")), _texts(batch.column("text")))]
         kept = batch.filter(pa.array(good, pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column("pattern"), kept.column("doc")], names=["pattern", "doc"])
 
@@ -180,7 +248,8 @@ def holding(spark: SparkSession, path: str, docs: DataFrame, id_col: str, json_c
     counts = {r["entry"]: r["docs"] for r in _frequencies(spark, path).where(hit).collect()}  # at most as many rows as the pattern has entries
     least = sorted(found, key=lambda e: (counts.get(e, 0), e))[:3]  # the rarest three leave few candidates; the rest is compared in full
     hit = F.col("bucket").isin(sorted({e % buckets for e in least})) & F.col("entry").isin(least)
-    met = _postings(spark, path, docs, id_col).where(hit).groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(least))
+    has = [F.bool_or(F.col("entry") == e).alias(f"has{k}") for k, e in enumerate(least)]
+    met = _postings(spark, path, docs, id_col).where(hit).select("entry", F.explode("held").alias("doc")).groupBy("doc").agg(*has).where(" AND ".join(f"has{k}" for k in range(len(least))))
     texts = docs.select(F.col(id_col).alias("__id__"), F.col(json_col).cast("string").alias("text"))
     return _pairs(met.select(F.lit(0).alias("pattern"), F.lit(pattern).alias("asked"), "doc"), texts).select("doc")
 
@@ -191,9 +260,10 @@ def matches(spark: SparkSession, path: str, docs: DataFrame, id_col: str, json_c
     A pattern meets the documents that have its rarest entry; one with an entry that no document has meets none.
     """
     asked = patterns.select(F.col(pattern_id).alias("pattern"), F.col(pattern_json).cast("string").alias("asked")).distinct()
-    wanted = _with_entries(asked, "asked", ["pattern", "asked"]).withColumn("bucket", F.pmod(F.col("entry"), F.lit(buckets)).cast("int"))
+    kind = T.StructType([*asked.schema.fields, T.StructField("entry", T.LongType())])
+    wanted = asked.mapInArrow(_spread, kind).withColumn("bucket", F.pmod(F.col("entry"), F.lit(buckets)).cast("int"))
     known = wanted.join(_frequencies(spark, path), ["bucket", "entry"], "left")
     rarest = known.groupBy("pattern", "asked").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "bucket", "entry")).alias("least")).where("least.docs > 0")
     chosen = rarest.select("pattern", "asked", "least.bucket", "least.entry")
-    candidates = chosen.join(_postings(spark, path, docs, id_col), ["bucket", "entry"]).select("pattern", "asked", "doc")
+    candidates = chosen.join(_postings(spark, path, docs, id_col), ["bucket", "entry"]).select("pattern", "asked", F.explode("held").alias("doc"))
     return _pairs(candidates, docs.select(F.col(id_col).alias("__id__"), F.col(json_col).cast("string").alias("text")))

@@ -95,3 +95,16 @@ def test_a_rare_pattern_reads_few_entries(spark, stored):
     _, df, path = stored
     plan = documents.holding(spark, path, df, "id", "entry", '{"b": {"c": "second row"}}', buckets=8)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "In(entry" in plan
+
+
+def test_what_all_documents_have_is_a_row_a_block(spark, tmp_path):
+    """Entries of all documents don't make a posting each, and rows of one id still count as one document."""
+    docs = spark.range(4000).repartition(2).select("id", F.concat(F.lit('{"all": {"same": [1, "x"]}, "own": '), F.col("id").cast("string"), F.lit("}")).alias("body"))
+    docs = docs.unionByName(docs.where("id < 10"))
+    documents.write_index(docs, "id", "body", str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/postings").count()
+    assert 4000 < rows < 4000 + 10 * 40  # one entry of its own each
+    got = [r["doc"] for r in documents.holding(spark, str(tmp_path), docs, "id", "body", '{"all": {"same": ["x"]}}').collect()]
+    assert sorted(got) == list(range(4000))
+    few = spark.createDataFrame([(0, '{"own": 7}'), (1, '{"own": 4000}')], "id long, body string")
+    assert [tuple(r) for r in documents.matches(spark, str(tmp_path), docs, "id", "body", few, "id", "body").collect()] == [(0, 7)]
