@@ -4,7 +4,8 @@ Tokens are runs of letters and digits in lower case. Stop words keep their place
 words of the letters a to z are stemmed by Porter's steps, with y a vowel but at the beginning. The
 postings of a term lie in one bucket, sorted, so a search reads the row groups of its terms only.
 Texts are split and queries evaluated by column expressions; the words of a document are stemmed and
-gathered in numpy, where a worker stems a word once, and only postings are shuffled, once.
+gathered in numpy, where a worker stems a word once. A document's postings are made and stored where
+it is read; only those of an id that several rows have are brought together.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from ..functions.text import STOP_WORDS
 
 _STOPS = frozenset(STOP_WORDS)
-#: Words that are gathered at once.
-BLOCK = 1 << 18
+#: Words that are gathered at once; ids that may be broadcast.
+BLOCK, BROADCAST_ROWS = 1 << 18, 50_000
 #: What separates tokens.
 BREAK = r"[^\p{L}\p{N}]+"
 #: A stem that has a vowel and then a consonant once, and twice.
@@ -147,19 +148,30 @@ def _merged(found: DataFrame, *keys: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``term, doc, positions`` (sorted, from 0). Null and empty texts have none, rows of one id count as one document, a null id is one."""
-    return _merged(spread(docs, id_col, text), "term", "doc")
+    """``term, doc, positions`` (sorted, from 0). Null and empty texts have none, rows of one id count as one document, a null id is one.
+
+    Ids are counted first: postings of an id on one row are whole as they are and aren't shuffled, those of the others are merged.
+    """
+    again = docs.groupBy(F.col(id_col).alias("__again__")).agg(F.count("*").alias("__rows__")).where(F.col("__rows__") > 1).select("__again__")
+    n = again.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return spread(docs, id_col, text)
+    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    same = F.col(id_col).eqNullSafe(F.col("__again__"))
+    whole, parts = docs.join(again, same, "left_anti"), docs.join(again, same, "left_semi")
+    return spread(whole, id_col, text).unionByName(_merged(spread(parts, id_col, text), "term", "doc"))
 
 
-def write_postings(found: DataFrame, path: str, buckets: int = 64, salts: int = 8) -> None:
-    """What ``spread`` gave by bucket of the term's hash, sorted by term, rows of one id as one document.
+def write_postings(found: DataFrame, path: str, buckets: int = 64, salts: int | None = None) -> None:
+    """What ``spread`` gave by bucket of the term's hash, sorted by term; ``search`` merges rows of one id.
 
-    A bucket is dealt to ``salts`` tasks by document, so a frequent term isn't one task's.
+    Each task writes its own rows, a file a bucket. With ``salts`` a bucket is dealt to so many tasks by document, which shuffles
+    all postings but leaves fewer files.
     """
-    deal = [F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int").alias("salt")]
-    dealt = found.select("*", *deal).repartition("bucket", "salt")
-    rows = _merged(dealt, "bucket", "salt", "term", "doc").select("term", "doc", "positions", "bucket")
-    rows.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(path)
+    rows = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    if salts:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts))).repartition("bucket", "salt").drop("salt")
+    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
 def _lists(texts: Sequence[str]) -> list[str]:
@@ -199,7 +211,8 @@ def search(spark: SparkSession, path: str, asked: Query, documents: int, buckets
     of = dict(zip(every, found[::2]))  # constants, which are pushed down to the scan
     hit = F.col("bucket").isin(sorted(set(found[1::2]))) & F.col("term").isin(sorted(set(of.values())))
     rows = spark.read.parquet(path)
-    held = rows.where(hit).groupBy("doc").agg(*[F.max(F.when(F.col("term") == of[w], F.col("positions"))).alias(place[w]) for w in every])
+    lists = rows.where(hit).groupBy("doc").agg(*[F.collect_list(F.when(F.col("term") == of[w], F.col("positions"))).alias(place[w]) for w in every])
+    held = lists.select("doc", *[F.when(F.size(place[w]) > 0, F.array_sort(F.array_distinct(F.flatten(place[w])))).alias(place[w]) for w in every])
     there = lambda w: F.col(place[w]).isNotNull()
     keep = F.lit(True)
     for w in must:
