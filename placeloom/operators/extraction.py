@@ -20,6 +20,7 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 Json = dict[str, Any]
 PLAIN = {"string": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType()}
 OWN = ("item", "violations")
+_HELD = {"string": str, "boolean": bool, "array": list, "object": dict}
 
 
 def _of(kind: str, **properties: Json) -> Json:
@@ -44,16 +46,21 @@ PLACES = _of("object", places={"type": "array", "items": _of(
 )})
 
 
-def _kind(schema: Json) -> tuple[str, bool]:
-    """A schema's type, and whether it may be null."""
-    said = schema.get("type")
-    kinds = said if isinstance(said, list) else [said]
+@lru_cache(maxsize=64)
+def _kind_of(said: Any) -> tuple[str, bool]:
+    kinds = said if isinstance(said, tuple) else (said,)
     plain = [k for k in kinds if k != "null"]
     if len(plain) != 1 or plain[0] not in (*PLAIN, "object", "array"):
-        raise ValueError(f"a schema needs one type beside null, not {said}")
+        raise ValueError(f"a schema needs one type beside null, not {list(said) if isinstance(said, tuple) else said}")
     return plain[0], len(kinds) > 1
 
 
+def _kind(schema: Json) -> tuple[str, bool]:
+    """A schema's type, and whether it may be null."""
+    said = schema.get("type")
+    return _kind_of(tuple(said) if isinstance(said, list) else said)
+
+
 def data_type(schema: Json) -> T.DataType:
     """The column type of a schema."""
     kind, _ = _kind(schema)
@@ -79,6 +86,9 @@ def _shown(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1").encode("utf-8", "backslashreplace").decode()
 
 
+_step = lru_cache(maxsize=1024)(_shown)  # of a schema's keys
+
+
 def _number(value: Any, kind: str) -> Any:
     """A number as its column holds it; None if it isn't one, NaN if the column can't hold it."""
     if isinstance(value, bool) or not isinstance(value, (int, float)):
@@ -107,7 +117,7 @@ def checked(value: Any, schema: Json, path: str, wrong: list[str]) -> Any:
         if out is None or out != out:
             wrong.append(f"{path}: not a {kind}" if out is None else f"{path}: out of range")
             return None
-    elif not isinstance(value, {"string": str, "boolean": bool, "array": list, "object": dict}[kind]):
+    elif not isinstance(value, _HELD[kind]):
         wrong.append(f"{path}: not a {kind}")
         return None
     elif kind == "array":
@@ -116,7 +126,7 @@ def checked(value: Any, schema: Json, path: str, wrong: list[str]) -> Any:
         out = tuple(members(value, schema, path, wrong).values())
     else:
         out = value
-        if kind == "string" and any("\ud800" <= c <= "\udfff" for c in value):
+        if kind == "string" and not value.isascii() and any("\ud800" <= c <= "\udfff" for c in value):
             wrong.append(f"{path}: not Unicode")
             return None
     if "enum" in schema and value not in schema["enum"]:
@@ -130,12 +140,16 @@ def members(value: Json, schema: Json, path: str, wrong: list[str], skip: str |
     known, out = schema["properties"], {}
     for k, s in known.items():
         if k in value:
-            out[k] = None if k == skip else checked(value[k], s, f"{path}/{_shown(k)}", wrong)
+            v = value[k]
+            if type(v) is str and s.get("type") == "string" and v.isascii() and "enum" not in s:
+                out[k] = v  # as most are
+                continue
+            out[k] = None if k == skip else checked(v, s, f"{path}/{_step(k)}", wrong)
         else:
             out[k] = None
             if k in schema.get("required", ()):
-                wrong.append(f"{path}/{_shown(k)}: missing")
-    if schema.get("additionalProperties") is False:
+                wrong.append(f"{path}/{_step(k)}: missing")
+    if schema.get("additionalProperties") is False and not value.keys() <= known.keys():
         wrong += [f"{path}/{_shown(k)}: not allowed" for k in sorted(value.keys() - known.keys())]
     return out
 
@@ -144,6 +158,9 @@ def _refused(text: str) -> Any:
     raise ValueError(text)
 
 
+_DECODER = json.JSONDecoder(parse_constant=_refused)
+
+
 @dataclass
 class Shape(AnalyzeResult):
     """What ``analyze`` found out once, for every task."""
@@ -194,7 +211,7 @@ class Extract:
     def _rows(self, answer: str) -> Iterator[tuple]:
         nothing = [None] * len(self.columns)
         try:
-            value = json.loads(answer, parse_constant=_refused)
+            value = _DECODER.decode(answer)
         except (ValueError, RecursionError):
             yield (None, *nothing, [": not JSON"])
             return
@@ -209,7 +226,7 @@ class Extract:
         if outside:
             yield (None, *nothing, outside)
         for k, one in enumerate(elements if isinstance(elements, list) else []):
-            path, wrong = f"/{_shown(self.name)}/{k}", []
+            path, wrong = f"/{_step(self.name)}/{k}", []
             if isinstance(one, dict):
                 yield (k, *members(one, self.element, path, wrong).values(), wrong)
             else:

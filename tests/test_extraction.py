@@ -128,3 +128,15 @@ def test_strict_answers_are_read_once(spark):
     got = extraction.extracted(posts, refuse=True)
     assert sorted((r["id"], r["item"]) for r in got.collect()) == [(0, 0), (0, 1)]
     assert sorted(got.drop("violations").collect()) == sorted(extraction.strict(extraction.extracted(posts), "id").collect())
+
+
+def test_a_schemas_keys_are_told_once(monkeypatch):
+    """Steps of paths aren't made anew for each value of each answer; faults are named as before."""
+    place = {k: "é" if k == "category" else "x" for k in extraction.PLACES["properties"]["places"]["items"]["properties"]} | {"confidence": 0.5}
+    told = extraction.Extract(extraction.Shape(schema=extraction.data_type(extraction.PLACES), asked=extraction.PLACES))
+    list(told.eval(json.dumps({"places": [place]}), ""))
+    made = []
+    monkeypatch.setattr(extraction, "_shown", lambda key: made.append(key) or key)
+    rows = list(told.eval(json.dumps({"places": [place, place | {"confidence": "1"}, place | {"city": "\ud800"}]}), ""))
+    assert not made and [r[-1] for r in rows] == [[], ["/places/1/confidence: not a number"], ["/places/2/city: not Unicode"]]
+    assert list(told.eval(json.dumps({"places": [place | {"mood": 1}]}), ""))[0][-1] == ["/places/0/mood: not allowed"] and made == ["mood"]
