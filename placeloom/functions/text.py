@@ -59,14 +59,15 @@ def like_any_case(c: ColumnOrName, pattern: str, whole: bool = False) -> Column:
 NOISE_SYMBOLS = r"[§\\{}*|<>~`^]"
 LONE_NUMERAL = r"^[IVXivx]{1,4}$"
 LEAST_TOKEN = 2
+#: What a token that isn't noise matches, in one pass.
+_GOOD = rf"^(?!{LONE_NUMERAL[1:]})(?=[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])[^{NOISE_SYMBOLS[1:-1]}]{{{LEAST_TOKEN},}}+\z"
 LEAST_LINE = 4
 LEAST_CONFIDENCE = 60
 
 
 def is_noise(c: ColumnOrName) -> Column:
     """Whether an OCR token is noise: too short, without letter or number, with a noise symbol, or a lone roman numeral."""
-    t = trim_space(c)
-    return (F.length(t) < LEAST_TOKEN) | ~t.rlike(r"[\p{L}\p{N}]") | t.rlike(NOISE_SYMBOLS) | t.rlike(LONE_NUMERAL)
+    return ~trim_space(c).rlike(_GOOD)
 
 
 def fix_price(c: ColumnOrName) -> Column:

@@ -18,10 +18,11 @@ def words(frames: DataFrame, key: list[str], tsv: str = "tsv") -> DataFrame:
     more and some text are words.
     """
     lines = frames.select(*key, F.posexplode(F.split(tsv, "\n")).alias("pos", "row")).where("pos > 0")
-    # generated, not projected: filters are merged into projections, which would split each row once per condition
+    # generated, not projected: filters are merged into projections, which would split each row, and trim each text, once per condition
     cells = lines.select(*key, "pos", F.explode(F.array(F.split("row", "\t"))).alias("c")).where(F.size("c") >= 12)
-    whole = lambda i: F.col("c")[i].try_cast("double").cast("int")
-    out = cells.select(*key, "pos", whole(0).alias("level"), whole(2).alias("block"), whole(3).alias("par"), whole(4).alias("line"), whole(10).alias("conf"), trim_space(F.col("c")[11]).alias("text"))
+    whole = lambda i: F.coalesce(F.col("c")[i].try_cast("int"), F.col("c")[i].try_cast("double").cast("int"))
+    fields = F.struct(whole(0).alias("level"), whole(2).alias("block"), whole(3).alias("par"), whole(4).alias("line"), whole(10).alias("conf"), trim_space(F.col("c")[11]).alias("text"))
+    out = cells.select(*key, "pos", F.explode(F.array(fields)).alias("f")).select(*key, "pos", "f.*")
     return out.where("level = 5 and not coalesce(conf < 0, false) and text <> ''").drop("level")
 
 
@@ -31,8 +32,8 @@ def clean_lines(word_rows: DataFrame, key: list[str], least_confidence: int = LE
     A line's words are gathered, so a line is the largest group.
     """
     good = word_rows.where((F.col("conf") >= least_confidence) & ~is_noise("text")).withColumn("text", fix_price("text"))
-    grouped = good.groupBy(*key, "block", "par", "line").agg(F.min("pos").alias("line_no"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("w"))
-    joined = grouped.select(*key, "line_no", trim_space(F.array_join(F.transform("w", lambda x: x["text"]), " ")).alias("text"))
+    grouped = good.groupBy(*key, "block", "par", "line").agg(F.min("pos").alias("line_no"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("w"))
+    joined = grouped.select(*key, "line_no", trim_space(F.array_join("w.text", " ")).alias("text"))
     return joined.where(F.length("text") >= LEAST_LINE)
 
 

@@ -196,3 +196,17 @@ def test_frames(spark):
     assert len(one(spark, media.sample_times("d"), d=500.0)) == 30
     assert one(spark, media.orientation("w", "h"), w=9, h=16) == "vertical"
     assert one(spark, media.known_duration("d"), d=("double",)) == 60.0
+
+
+def test_noise_is_told_in_one_pass(spark):
+    """The rules one by one, on odd tokens; the token is trimmed once and matched once."""
+    import itertools
+    import re
+
+    some = ["".join(x) for n in (0, 1, 2, 3) for x in itertools.product(["I", "a", "é", "7", "₹", "-", "|", "§", " ", "\n", "\u0085", "\U0001d11e"], repeat=n)] + ["IVXI", "IVXIV", "x" * 5000 + "~", "-" * 5000, "^" * 5000 + "a"]
+    t = text.trim_space("w")
+    rules = (F.length(t) < text.LEAST_TOKEN) | ~t.rlike(r"[\p{L}\p{N}]") | t.rlike(text.NOISE_SYMBOLS) | t.rlike(text.LONE_NUMERAL)
+    df = spark.createDataFrame([*[(w,) for w in some], (None,)], "w string")
+    assert df.where(~text.is_noise("w").eqNullSafe(rules)).count() == 0
+    plan = df.where(text.is_noise("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("RLIKE", plan)) == 1
