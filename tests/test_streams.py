@@ -65,6 +65,47 @@ def test_state_of_timers_is_bounded(spark, tmp_path):
     assert left and left[-1] <= 2 * 60  # of the last fifty posts, a status and a timer each
 
 
+def test_state_is_read_and_written_by_buckets(spark, tmp_path):
+    """Calls for state, which cost most, don't grow with the posts: fewer rows of state than posts, and the same moves."""
+    own = timers.stateful_session(spark)
+    n = 12_000
+    made = lambda status, shift: spark.range(n).select(F.concat(F.lit("p"), "id").alias("post_id"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("error_message"), F.timestamp_seconds(F.col("id") % 100 + shift).alias("event_time"))
+    known = made("pending", 50).where("post_id LIKE '%7'")
+    for status, shift in (("scraping", 200), ("scraped", 400)):
+        made(status, shift).write.mode("append").parquet(str(tmp_path / "in"))
+        got, q = _run(own, tmp_path, known, give_up="1000 seconds", remember="1000 seconds")
+        ops = [s for p in q.recentProgress for s in p["stateOperators"]]
+        assert ops and max(s["numRowsTotal"] for s in ops) <= 2 * 4096 and sum(s["numRowsUpdated"] for s in ops) <= 4 * 4096
+    want = [(f"p{k}", "scraping", "pending" if k % 10 == 7 else None, None, 200 + k % 100) for k in range(n)] + [(f"p{k}", "scraped", "scraping", None, 400 + k % 100) for k in range(n)]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("buckets", [{}, {"buckets": 1}])
+def test_posts_of_a_bucket_are_on_their_own(spark, tmp_path, buckets):
+    """Time-outs before, at and after the watermark, a post that is forgotten beside others that aren't, null beside text."""
+    own = timers.stateful_session(spark)
+    know = own.createDataFrame([("k", "scraped", 20), ("o", "completed", 30), (None, "pending", 45), ("u", "odd", 1)], "post_id string, status string, t long").select("post_id", "status", F.timestamp_seconds("t").alias("event_time"))
+    kw = {"known": know, "give_up": "100 seconds", "remember": "300 seconds", "late": "10 seconds"} | buckets
+    _add(spark, tmp_path / "in", [("before", "pending", 99), ("at", "pending", 100), ("after", "pending", 105), ("z", "completed", 210)])
+    got, _ = _run(own, tmp_path, **kw)
+    first = [("before", "pending", None, None, 99), ("at", "pending", None, None, 100), ("after", "pending", None, None, 105), ("z", "completed", None, None, 210), ("before", "failed", "pending", "timed out", 199), ("k", "failed", "scraped", "timed out", 120), (None, "failed", "pending", "timed out", 145), ("at", "failed", "pending", "timed out", 200)]
+    assert got == sorted(first, key=repr)  # the watermark is 200
+    _add(spark, tmp_path / "in", [("o", "pending", 330), ("after", "scraping", 204), ("z", "failed", 345)])
+    got, _ = _run(own, tmp_path, **kw)
+    second = [("after", "scraping", "pending", None, 204), ("after", "failed", "scraping", "timed out", 304)]
+    assert got == sorted(first + second, key=repr)
+    _add(spark, tmp_path / "in", [("o", "pending", 341), ("z", "pending", 341), (None, "pending", 341), ("w", "pending", 700)])
+    got, _ = _run(own, tmp_path, **kw)
+    third = [("o", "pending", None, None, 341), ("o", "failed", "pending", "timed out", 441)]
+    assert got == sorted(first + second + third + [("w", "pending", None, None, 700)], key=repr)
+
+
+def test_ids_without_an_order_or_equality_are_refused(spark):
+    events = spark.createDataFrame([], "post_id double, status string, error_message string, event_time timestamp")
+    with pytest.raises(ValueError, match="post_id"):
+        timers.follow(events)
+
+
 @pytest.mark.parametrize("order", ["posts first", "answers first"])
 def test_branches_in_any_order(spark, tmp_path, order):
     posts = [(k, 1000 + k) for k in range(40)] + [(-1, 100_000)]
