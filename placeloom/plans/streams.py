@@ -52,26 +52,18 @@ def status_timeouts(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, CASE WHEN id % 10 <> 4 THEN ocr END AS ocr, CASE WHEN id % 9 <> 6 THEN said END AS said FROM o"""
 )
 def branch_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as posts, second by second; half get a text, a third get speech, some of them too late. What is read last comes first in time."""
+    """Orders as posts, second by second; half get a text, a third get speech, some of them too late. The streams get them in steps, so a text or speech may come steps after its post."""
     folder, key = sources.scratch_folder(spark, "branches"), F.col("o_orderkey")
     o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     time = lambda after: F.timestamp_seconds(key + 1_000_000 + after).alias("event_time")
     ocr = o.where("o_orderkey % 2 = 0").select(key.alias("post_id"), time(F.when(key % 10 == 4, 1000).otherwise(key % 600)), F.col("o_orderstatus").alias("ocr"))
     said = o.where("o_orderkey % 3 = 0").select(key.alias("post_id"), time(F.when(key % 9 == 6, 601).otherwise(0)), F.col("o_orderpriority").alias("said"))
     posts = o.select(key.alias("post_id"), time(F.lit(0)))
-    tables = {"posts": posts, "ocr": ocr, "said": said}
-    # a row of a later time, of no post, tells that a stream has got so far
-    tables["end"] = o.agg(F.timestamp_seconds(F.max("o_orderkey") + 1_100_000).alias("event_time")).select(F.lit(-1).cast("long").alias("post_id"), "event_time")
-    for name, rows in tables.items():
-        rows.write.parquet(f"{folder}/{name}")
-    schemas = {name: rows.schema for name, rows in tables.items()}
-    stream = lambda name: spark.readStream.schema(schemas[name]).parquet(f"{folder}/{name}")
-    ended = lambda name: stream(name).unionByName(stream("end"), allowMissingColumns=True)
-    for left, branch, out in (("posts", "ocr", "half"), ("half", "said", "whole")):
-        joined = branches.joined_branches(ended(left), ended(branch), within="600 seconds")
-        schemas[out] = joined.schema
-        sources.to_folder(joined, f"{folder}/{out}", f"{folder}/checkpoint-{out}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(joined.schema).parquet(f"{folder}/whole").where("post_id >= 0").select(F.col("post_id").alias("id"), "ocr", "said")
+    upto = branches.steps_in_time(posts, beyond=100_000_000_000)
+    whole = posts
+    for name, branch in (("ocr", ocr), ("said", said)):
+        whole = branches.joined_in_steps(whole, branch, f"{folder}/{name}", upto, within="600 seconds")
+    return whole.select(F.col("post_id").alias("id"), "ocr", "said")
 
 
 @query(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from placeloom.sources import feed
 from placeloom.sources import tables as sources
@@ -132,6 +134,42 @@ def test_branches_in_any_order(spark, tmp_path, order):
     assert [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]][-1] <= 2  # the rows that end it
 
 
+def test_state_of_branches_is_a_steps(spark, monkeypatch):
+    """The query's state doesn't hold the whole table, and rows that meet over steps are as those that meet in one."""
+    from placeloom.plans import streams
+
+    started, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **kw: started.append(start(self, *a, **kw)) or started[-1])
+    monkeypatch.setattr(branches, "steps_in_time", functools.partial(branches.steps_in_time, rows=4000))
+    got = streams.branch_stream(spark, "/root/testdata/sf0.01").collect()
+    want = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").selectExpr("o_orderkey", "IF(o_orderkey % 2 = 0 AND o_orderkey % 10 <> 4, o_orderstatus, null)", "IF(o_orderkey % 3 = 0 AND o_orderkey % 9 <> 6, o_orderpriority, null)").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 15_000
+    held = [s["numRowsTotal"] for q in started for p in q.recentProgress for s in p["stateOperators"]]
+    assert len(started) == 8 and 4000 < max(held) < 8000  # all orders and texts are 22,500
+
+
+@pytest.mark.parametrize("rows", [7, 30, 1000])
+def test_tables_are_joined_in_steps(spark, tmp_path, rows):
+    """Steps that cut between a post and its answer, steps without answers, several answers, ids that are null."""
+    posts = [(k, 1000 + 40 * k) for k in range(60)] + [(None, 1500)]
+    after = [0, 599, 600, 601, -1]
+    answers = [(k, 1000 + 40 * k + after[k % 5], f"t{k}") for k in range(60) if k < 20 or k > 45] + [(3, 1130, "once more"), (None, 1500, "of none"), (999, 1500, "of no post")]
+    made = lambda r, schema: spark.createDataFrame(r, schema).withColumn("event_time", F.timestamp_seconds("event_time"))
+    p, b = made(posts, "post_id long, event_time long"), made(answers, "post_id long, event_time long, text string")
+    upto = branches.steps_in_time(p, 10_000_000_000, rows=rows)
+    assert len(upto) == -(-61 // rows) and upto == sorted(set(upto))
+    got = branches.joined_in_steps(p, b, f"{tmp_path}/steps", upto)
+    want = [(k, f"t{k}" if (k < 20 or k > 45) and k % 5 < 3 else None) for k in range(60) if k != 3] + [(3, "once more"), (None, None)]
+    assert sorted(map(tuple, got.select("post_id", "text").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_empty_tables_are_joined_in_steps(spark, tmp_path):
+    p = spark.createDataFrame([], "post_id string, event_time timestamp")
+    b = p.withColumn("text", F.lit("x"))
+    upto = branches.steps_in_time(p, 5)
+    assert upto == [5] and branches.joined_in_steps(p, b, f"{tmp_path}/steps", upto, nobody="-").collect() == []
+
+
 def _lines(reader, start, end):
     return [x for p in reader.partitions(start, end) for x in reader.read(p)]
 
